@@ -1,0 +1 @@
+"""See the README for the map of this subpackage."""
