@@ -60,7 +60,8 @@ def _links_of_vague(vague: DataFrame, accepted: DataFrame) -> DataFrame:
     facts = ["id", "total", "employer", "employer_rest", "city", "region", "programme"]
     left = vague.select(key, "n", F.struct(*facts).alias("x"))
     right = accepted.select(key, F.struct(*facts).alias("y"))
-    pairs = left.join(right, "key").where(F.col("x.id") != F.col("y.id"))
+    # Rows delivered twice must not count a chunk twice.
+    pairs = left.join(right, "key").where(F.col("x.id") != F.col("y.id")).dropDuplicates(["x", "y", "key"])
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     both = lambda c: (x(c) != "") & (y(c) != "")
     programme = both("programme") & (x("programme") == y("programme"))
@@ -71,7 +72,7 @@ def _links_of_vague(vague: DataFrame, accepted: DataFrame) -> DataFrame:
     summed = (
         pairs.where(agrees)
         .groupBy(F.greatest(x("id"), y("id")).alias("b"), F.least(x("id"), y("id")).alias("a"))
-        .agg(F.sum("n").alias("s"), F.count("*").alias("k"), F.first(F.least(x("total"), y("total"))).alias("least"), F.max(programme).alias("programme"), F.max(x("id")).alias("m"))
+        .agg(F.sum("n").alias("s"), F.count("*").alias("k"), F.min(F.least(x("total"), y("total"))).alias("least"), F.max(programme).alias("programme"))
     )
     return summed.where(F.col("programme") | (F.col("s") >= 2 * COVERAGE * F.col("least"))).select("b", "a", F.col("s").alias("shared"), "least")
 
@@ -117,7 +118,7 @@ def repeated_postings(history: DataFrame, new: DataFrame) -> DataFrame:
     Texts without words share nothing.
     """
     same = ["posting_id", "source", "title", "company", "location", "description"]
-    facts = checkpoint(facts_of(history.select(*same, F.lit(False).alias("is_new")).unionByName(new.select(*same, F.lit(True).alias("is_new"))), "is_new"))
+    facts = checkpoint(facts_of(history.select(*same, F.lit(False).alias("is_new")).unionByName(new.select(*same, F.lit(True).alias("is_new"))), "is_new", chunks=True))
     table = record_chunks(facts)
     fresh = record_chunks(facts.where("is_new"))
     return earliest(links(fresh, table)).select(F.col("a").alias("posting_id_a"), F.col("b").alias("posting_id_b"))
@@ -131,14 +132,14 @@ class ChunkTable:
 
     def append(self, accepted: DataFrame) -> None:
         """Adds the chunks of accepted postings."""
-        record_chunks(facts_of(accepted)).write.mode("append").parquet(self.path)
+        record_chunks(facts_of(accepted, chunks=True)).write.mode("append").parquet(self.path)
 
     def check(self, batch: DataFrame) -> DataFrame:
         """``posting_id_a, posting_id_b`` of the batch's repeats of accepted postings and of each other.
 
         Reads the table's narrow chunk rows, not the history's texts.
         """
-        fresh = checkpoint(record_chunks(facts_of(batch)))
+        fresh = checkpoint(record_chunks(facts_of(batch, chunks=True)))
         known = self.spark.read.parquet(self.path).unionByName(fresh)
         return earliest(links(fresh, known)).select(F.col("a").alias("posting_id_a"), F.col("b").alias("posting_id_b"))
 

@@ -34,22 +34,16 @@ EMPLOYER_WEIGHT = (0.5, 6.0)
 #: Employers and names of a text with more than this share of all postings are common; there can't be many of them.
 COMMON_SHARE, COMMON_ROWS = 0.002, 12
 MATCH = 0.5
-MAX_ROUNDS, TOLERANCE, DAMPING = 12, 0.01, 0.5
+MAX_ROUNDS, STEPS, TOLERANCE, DAMPING = 5, 2, 0.05, 0.6
 
 #: A post code of which a part is missing.
 INCOMPLETE = r"^\.|\.\.|\.$"
 _IDENTITY = ["source", "post", "level", "city", "region", "employer", "employer_rest", "programme"]
 
 
-def facts_of(postings: DataFrame, *keep: str) -> DataFrame:
-    """Facts of each posting id; of redelivered rows the least by facts is kept."""
-    facts = read_postings(postings.where(F.col("posting_id").isNotNull() & F.col("source").isNotNull()), "posting_id", "source", *keep)
-    return facts.groupBy("posting_id").agg(*(F.min_by(c, F.struct(F.size("chunks") * -1, F.col("chunks"))).alias(c) for c in facts.columns if c != "posting_id"))
-
-
-def classes(facts: DataFrame) -> DataFrame:
-    """``facts`` with ``rep``: the least id among postings of one source with equal facts."""
-    return facts.withColumn("same", F.xxhash64(*_IDENTITY, F.array_sort("names"), F.array_sort("sentences")))
+def facts_of(postings: DataFrame, *keep: str, chunks: bool = False) -> DataFrame:
+    """Facts of each row that has an id and a source."""
+    return read_postings(postings.where(F.col("posting_id").isNotNull() & F.col("source").isNotNull()), "posting_id", "source", *keep, chunks=chunks)
 
 
 def common(values: DataFrame, column: str, rows: int) -> dict:
@@ -126,6 +120,19 @@ def prior(employers: dict[str, int], rows: int, a: str = "x", b: str = "y") -> C
     return F.when(identical, F.greatest(odds, w["identity"])).otherwise(odds)
 
 
+def _exchange(state: DataFrame) -> DataFrame:
+    """One damped round of messages ``m_a``, ``m_b``; ``change`` is the greatest step of a row."""
+    bounded = lambda c: F.exp(F.least(F.greatest(c, F.lit(-30.0)), F.lit(30.0)))
+    rows = state.withColumn("e_a", bounded(F.col("odds") + F.col("m_b"))).withColumn("e_b", bounded(F.col("odds") + F.col("m_a")))
+    rows = rows.join(rows.groupBy("a", "b_source").agg(F.sum("e_a").alias("s_a")), ["a", "b_source"])
+    rows = rows.join(rows.groupBy("b", "a_source").agg(F.sum("e_b").alias("s_b")), ["b", "a_source"])
+    rest = lambda s, e: -F.log1p(F.greatest(F.col(s) - F.col(e), F.lit(0.0)))
+    step = lambda old, new: (1 - DAMPING) * F.col(old) + DAMPING * new
+    m_a, m_b = step("m_a", rest("s_a", "e_a")), step("m_b", rest("s_b", "e_b"))
+    change = F.greatest(F.abs(m_a - F.col("m_a")), F.abs(m_b - F.col("m_b")))
+    return rows.select("a", "b", "a_source", "b_source", "odds", m_a.alias("m_a"), m_b.alias("m_b"), change.alias("change"))
+
+
 def propagate(pairs: DataFrame) -> DataFrame:
     """``pairs`` with ``a, b, a_source, b_source, odds`` to ``a, b, p``: marginals under the one-partner factors.
 
@@ -142,21 +149,10 @@ def propagate(pairs: DataFrame) -> DataFrame:
         contested.where((F.col("n_a") > 1) | (F.col("n_b") > 1)).select("a", "b", "a_source", "b_source", "odds", F.lit(0.0).alias("m_a"), F.lit(0.0).alias("m_b"))
     )
     for _ in range(MAX_ROUNDS):
-        bounded = lambda c: F.exp(F.least(F.greatest(c, F.lit(-30.0)), F.lit(30.0)))
-        rows = state.withColumn("e_a", bounded(F.col("odds") + F.col("m_b"))).withColumn("e_b", bounded(F.col("odds") + F.col("m_a")))
-        sums_a = rows.groupBy("a", "b_source").agg(F.sum("e_a").alias("s_a"))
-        sums_b = rows.groupBy("b", "a_source").agg(F.sum("e_b").alias("s_b"))
-        fresh = rows.join(sums_a, ["a", "b_source"]).join(sums_b, ["b", "a_source"])
-        rest = lambda s, e: -F.log1p(F.greatest(F.col(s) - F.col(e), F.lit(0.0)))
-        step = lambda old, new: (1 - DAMPING) * F.col(old) + DAMPING * new
-        fresh = fresh.select(
-            "a", "b", "a_source", "b_source", "odds", step("m_a", rest("s_a", "e_a")).alias("n_a"), step("m_b", rest("s_b", "e_b")).alias("n_b"),
-            F.col("m_a").alias("o_a"), F.col("m_b").alias("o_b"),
-        )
-        fresh = checkpoint(fresh)
-        change = fresh.agg(F.max(F.greatest(F.abs(F.col("n_a") - F.col("o_a")), F.abs(F.col("n_b") - F.col("o_b"))))).first()[0]
-        state = fresh.select("a", "b", "a_source", "b_source", "odds", F.col("n_a").alias("m_a"), F.col("n_b").alias("m_b"))
-        if change is None or change < TOLERANCE:
+        for _ in range(STEPS):
+            state = _exchange(state)
+        state = checkpoint(state)
+        if (state.agg(F.max("change")).first()[0] or 0.0) < TOLERANCE:
             break
     belief = state.select("a", "b", (F.col("odds") + F.col("m_a") + F.col("m_b")).alias("odds")).unionByName(alone)
     return belief.select("a", "b", (1 / (1 + F.exp(-F.col("odds")))).alias("p"))
@@ -168,7 +164,9 @@ def match_postings(postings: DataFrame, threshold: float = MATCH) -> DataFrame:
     Rows without id or source are left out; redelivered rows count once; nulls
     in other columns say nothing. An empty table gives an empty result.
     """
-    facts = checkpoint(classes(facts_of(postings)).drop("chunks"))
+    # Rows with equal facts are one class, redelivered ones among them; they need not be made distinct before.
+    same = F.xxhash64(*_IDENTITY, F.array_sort("names"), F.array_sort("sentences")).alias("same")
+    facts = checkpoint(facts_of(postings).select("posting_id", *_IDENTITY, "names", "sentences", same))
     rows = facts.count()
     usual = list(common(facts.select(F.explode("names").alias("n")), "n", rows))
     if usual:
@@ -185,9 +183,10 @@ def match_postings(postings: DataFrame, threshold: float = MATCH) -> DataFrame:
     # A pair against which the facts speak this strongly can't win, nor weaken another.
     found = propagate(checkpoint(scored.where(F.col("odds") > PRIOR)))
     found = found.where(F.col("p") >= threshold)
-    of = facts.groupBy("source", "same").agg(F.min("posting_id").alias("rep")).join(members, ["source", "same"]).select("rep", "posting_id")
+    of = reps.select(F.col("id").alias("rep"), "source", "same").join(members, ["source", "same"]).select("rep", "posting_id").distinct()
     one, two = of.select(F.col("rep").alias("a"), F.col("posting_id").alias("i")), of.select(F.col("rep").alias("b"), F.col("posting_id").alias("j"))
     return (
         found.join(one, "a").join(two, "b")
         .select(F.least("i", "j").alias("posting_id_a"), F.greatest("i", "j").alias("posting_id_b"), F.col("p").alias("confidence"))
+        .groupBy("posting_id_a", "posting_id_b").agg(F.max("confidence").alias("confidence"))
     )

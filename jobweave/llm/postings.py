@@ -79,15 +79,30 @@ LEGAL = frozenset("sas sa sarl sasu s.a.s inc llc ltd plc limited gmbh group gro
 
 _WORD = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 _TAGS = re.compile(r"<[^<>]{0,200}>")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
+_ALNUM = re.compile(r"[^\W_]+")
+_INNER_CAP = re.compile(r"(?<=[^.!?…\s]\s)[A-ZÀ-Ý][a-zß-ÿ]{5,}\b")
 _CAP = re.compile(r"\b[A-ZÀ-Ý][a-zß-ÿ]{5,}\b")
 _HEAD_TITLE = re.compile(r"(?:\s:\s?|: |\()([^:()]+)\)?[.\s]*$")
+#: Words around a title that say nothing about the post.
+_NOISE = frozenset("h f m x de des du la le les et and the of en cdi cdd urgent permanent temps plein ref reposted relance mi hf fh mfx nouveau new".split())
 _WITHHELD = re.compile(r"(?i)\s*(?:n/?[ac]|-+|\?+|none|null|unknown|confidenti\w+|anonym\w*|(?:notre|our|un|a)\s+clients?|clients?|(?:entreprise|employeur|soci[ée]t[ée]|company|employer)\s+(?:confidenti|anonym|non)\w*.*)\s*")
 _PROGRAMME = re.compile(r"\b[Pp]rogramme ([A-Z][a-z]{4,})|\b([A-Z][a-z]{4,}) programme\b")
 
 
+#: Characters that have no decomposition to plain ones. (Chained replacement is many times faster than a translation table.)
+_PUNCTUATION = (("’", "'"), ("–", "-"), ("—", "-"), ("…", "."), ("œ", "oe"), ("Œ", "OE"), ("ß", "ss"))
+
+
 def fold(text: str) -> str:
+    """Lower case without accents."""
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text.replace("’", "'").replace("œ", "oe")) if not unicodedata.combining(c))
+        for a, b in _PUNCTUATION:
+            text = text.replace(a, b)
+        parts = unicodedata.normalize("NFKD", text)
+        plain = parts.encode("ascii", "ignore").decode()
+        # Texts in other scripts keep their letters.
+        text = plain if 2 * len(plain) >= len(text) else "".join(c for c in parts if not unicodedata.combining(c))
     return text.lower()
 
 
@@ -157,11 +172,11 @@ class Reader:
             self.region_of[names[0]] = f"{country}:{region}"
         self.city_spell = Speller({w for c in self.cities for w in [c.replace(" ", "")]})
         self.joined = {c.replace(" ", ""): v for c, v in self.cities.items()}
-        self.titles: dict[str, tuple[str, str]] = {}
+        self.titles: dict[str, tuple[str, str, bool]] = {}
         self.spots: dict[str, tuple[str, str]] = {}
 
-    def title(self, text: str | None) -> tuple[str, str]:
-        """(post, level): post is "role.field.branch", each a number or empty."""
+    def title(self, text: str | None) -> tuple[str, str, bool]:
+        """(post, level, sure): post is "role.field.branch", each a number or empty; sure if all words are known as they stand."""
         key = text or ""
         known = self.titles.get(key)
         if known is None:
@@ -170,8 +185,10 @@ class Reader:
                 self.titles[key] = known
         return known
 
-    def _title(self, text: str) -> tuple[str, str]:
-        words = [self.canon.get(x, x) for w in _WORD.findall(text.replace("d'", " ")) for x in [self.spell(w)]]
+    def _title(self, text: str) -> tuple[str, str, bool]:
+        typed = _WORD.findall(text.replace("d'", " "))
+        sure = all(w in self.spell.words or w in _NOISE or w.isdigit() for w in typed)
+        words = [self.canon.get(x, x) for w in typed for x in [self.spell(w)]]
         flat = [x for w in words for x in ([w] if "-" not in w or w in self.spell.words else w.split("-"))]
         level = next((self.level[w] for w in flat if w in self.level), "")
         code = {"f": "", "b": ""}
@@ -201,7 +218,7 @@ class Reader:
             hit = self.half.get(w)
             if hit and not code[hit[0]]:
                 code[hit[0]] = str(hit[1])
-        return f"{role}.{code['f']}.{code['b']}", level
+        return f"{role}.{code['f']}.{code['b']}", level, sure and bool(role and code["f"] and code["b"])
 
     def place(self, text: str | None) -> tuple[str, str]:
         """(city, region) of a location; empty where it doesn't say."""
@@ -238,36 +255,32 @@ class Reader:
         normalised to their words.
         """
         clean = _clean(description or "")
-        sentences = [s for s in re.split(r"(?<=[.!?…])\s+|\n+", clean) if s.strip()]
+        sentences = [s for s in _SENTENCE.split(clean) if s and not s.isspace()]
         m = _PROGRAMME.search(clean)
-        programme = fold(next(g for g in m.groups() if g)) if m else ""
-        names = sorted({fold(m[0]) for s in sentences for m in _CAP.finditer(s.strip()) if m.start() > 0})
-        return (sentences[0] if sentences else ""), programme, names, [" ".join(re.findall(r"[a-z0-9]+", fold(s))) for s in sentences]
+        programme = fold(m[1] or m[2]) if m else ""
+        names = sorted({fold(w) for w in _INNER_CAP.findall(clean)})
+        plain = [" ".join(_ALNUM.findall(s)) for s in fold("\n".join(s.replace("\n", " ") for s in sentences)).split("\n")] if sentences else []
+        return (sentences[0] if sentences else ""), programme, names, plain
 
     def read(self, title, company, location, description) -> tuple:
-        post, level = self.title(title)
+        post, level, sure = self.title(title)
         head, programme, names, sentences = self.text(description)
         city, region = self.place(location)
-        if not city:
+        if not city and head:
             # The head of a text often names the place; it counts where it lies in the stated region.
-            found, where = self.place(" ".join(_CAP.findall(head)) + " " + head.rstrip(". ").rsplit(",", 1)[-1]) if head else ("", "")
+            found, where = self.place(" ".join(_CAP.findall(head)) + " " + head.rstrip(". ").rsplit(",", 1)[-1])
             if found and (not region or region == where):
                 city, region = found, where
-        # The head may repeat the title. It decides what the title leaves open or spells wrongly.
-        m = _HEAD_TITLE.search(head)
-        again, its = self.title(m[1]) if m else ("..", "")
-        if all(again.split(".")):
-            if not all(post.split(".")) or (again != post and self.misspelt(title)):
-                post = again
-            level = level or (its if post == again else "")
-        elif not all(post.split(".")):
-            post = ".".join(a or b for a, b in zip(post.split("."), again.split(".")))
+        if not sure and (m := _HEAD_TITLE.search(head)):
+            # The head may repeat the title. It decides what the title leaves open or spells wrongly.
+            again, its, clear = self.title(m[1])
+            if clear:
+                post, level = again, level or its
+            else:
+                post = ".".join(a or b for a, b in zip(post.split("."), again.split(".")))
         first, rest = self.employer(company)
         return post, level, city, region, first, rest, programme, names, sentences
 
-    def misspelt(self, title: str | None) -> bool:
-        return any(self.spell(w) != w for w in _WORD.findall(fold(title or "").replace("d'", " ")))
-
 
 FACTS = (
     "post string, level string, city string, region string, employer string, employer_rest string, programme string, "
@@ -293,19 +306,21 @@ def chunk(fields: list[str]) -> list[tuple[int, int]]:
     out = []
     for field in fields:
         begin, words = 0, field.split()
-        marks = [zlib.crc32(w.encode()) for w in words]
-        for k in range(len(words)):
-            rolling = (marks[k] + 31 * (marks[k - 1] if k > 0 else 0) + 961 * (marks[k - 2] if k > 1 else 0)) >> 5
+        marks, last = [zlib.crc32(w.encode()) for w in words], len(words) - 1
+        one = two = 0
+        for k, mark in enumerate(marks):
             size = k + 1 - begin
-            if k + 1 == len(words) or size >= CHUNK_MAX or (size >= CHUNK_MIN and not rolling & CHUNK_MASK):
+            rolling = (mark + 31 * one + 961 * two) >> 5
+            one, two = mark, one
+            if k == last or size >= CHUNK_MAX or (size >= CHUNK_MIN and not rolling & CHUNK_MASK):
                 piece = " ".join(words[begin : k + 1])
                 out.append((hash64(piece), len(piece)))
                 begin = k + 1
     return out
 
 
-def read_postings(postings: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` columns and the facts of each posting; nulls read as empty."""
+def read_postings(postings: DataFrame, *keep: str, chunks: bool = False) -> DataFrame:
+    """``keep`` columns and the facts of each posting, ``chunks`` of its text only on demand; nulls read as empty."""
     columns = ["title", "company", "location", "description"]
 
     def run(batches):
@@ -316,9 +331,9 @@ def read_postings(postings: DataFrame, *keep: str) -> DataFrame:
             facts = []
             for row in pdf[columns].itertuples(index=False, name=None):
                 *fields, names, sentences = reader.read(*row)
-                pieces = chunk(sentences)
+                pieces = chunk(sentences) if chunks else None
                 # Short sentences and common turns tell little; those that count hold some words.
-                facts.append((*fields, [hash64(n) for n in names], [hash64(s) for s in sorted(set(sentences)) if len(s) > 40], pieces))
+                facts.append((*fields, [hash64(n) for n in names], [] if chunks else [hash64(s) for s in sorted(set(sentences)) if len(s) > 40], pieces))
             out = pd.DataFrame(facts, columns=FIELDS_OUT)
             yield pd.concat([pdf[list(keep)].reset_index(drop=True), out], axis=1)
 
