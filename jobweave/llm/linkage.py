@@ -173,8 +173,10 @@ def match_postings(postings: DataFrame, threshold: float = MATCH) -> DataFrame:
         facts = facts.withColumn("names", F.array_except("names", F.lit(usual).cast("array<bigint>")))
     employers = common(facts.where(F.col("employer") != ""), "employer", rows)
     members = facts.select("posting_id", "source", "same")
-    reps = facts.groupBy("source", "same").agg(
-        F.min("posting_id").alias("id"), *(F.first(c).alias(c) for c in ("post", "level", "city", "region", "employer", "employer_rest", "programme", "names", "sentences"))
+    reps = checkpoint(
+        facts.groupBy("source", "same").agg(
+            F.min("posting_id").alias("id"), *(F.first(c).alias(c) for c in ("post", "level", "city", "region", "employer", "employer_rest", "programme", "names", "sentences"))
+        )
     )
     pairs = candidate_pairs(reps)
     x = reps.select(F.col("id").alias("a"), F.struct(*reps.columns).alias("x"))
