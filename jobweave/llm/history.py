@@ -30,14 +30,17 @@ COVERAGE = 0.15
 MAX_ROUNDS = 20
 
 
+def _total() -> Column:
+    return F.aggregate("chunks", F.lit(0), lambda s, c: s + c["n"])
+
+
 def record_chunks(facts: DataFrame) -> DataFrame:
     """The rows of the chunk table: one for each distinct chunk of a record.
 
     ``id, source, post, level, employer, city, programme, total, h, n``.
     """
-    total = F.aggregate("chunks", F.lit(0), lambda s, c: s + c["n"])
     return facts.select(
-        F.col("posting_id").alias("id"), "source", "post", "level", "employer", "employer_rest", "city", "region", "programme", total.alias("total"),
+        F.col("posting_id").alias("id"), "source", "post", "level", "employer", "employer_rest", "city", "region", "programme", _total().alias("total"),
         F.explode(F.array_distinct("chunks")).alias("c"),
     ).select("*", "c.h", "c.n").drop("c")
 
@@ -54,40 +57,49 @@ def _links_by_identity(new: DataFrame, accepted: DataFrame) -> DataFrame:
     return pairs.groupBy("b", F.col("f.id").alias("a")).agg(F.sum("n").alias("shared"), F.first(F.least("b_total", "f.total")).alias("least"))
 
 
-def _links_of_vague(vague: DataFrame, accepted: DataFrame) -> DataFrame:
-    """``b, a, shared, least`` of records that need a comparison with all of their chunk, in either role."""
+#: What is known of a record besides its chunks.
+RECORD = ["id", "total", "employer", "employer_rest", "city", "region", "programme"]
+
+
+def _links_of_vague(vague: DataFrame, accepted: DataFrame, records: DataFrame) -> DataFrame:
+    """``b, a, shared, least`` of records that need a comparison with all of their chunk, in either role.
+
+    The chunk join moves keys and ids only; ``records`` are looked up for the
+    pairs that share a chunk within source, post and level.
+    """
     key = F.xxhash64("source", "post", "level", "h").alias("key")
-    facts = ["id", "total", "employer", "employer_rest", "city", "region", "programme"]
-    left = vague.select(key, "n", F.struct(*facts).alias("x"))
-    right = accepted.select(key, F.struct(*facts).alias("y"))
-    # Rows delivered twice must not count a chunk twice.
-    pairs = left.join(right, "key").where(F.col("x.id") != F.col("y.id")).dropDuplicates(["x", "y", "key"])
+    pairs = (
+        vague.select(key, "n", F.col("id").alias("i")).join(accepted.select(key, F.col("id").alias("j")), "key")
+        # Rows delivered twice must not count a chunk twice.
+        .where(F.col("i") != F.col("j")).groupBy("i", "j", "key").agg(F.max("n").alias("n"))
+        .groupBy("i", "j").agg(F.sum("n").alias("s"))
+    )
+    side = lambda k, name: records.select(F.col("id").alias(k), F.struct(*RECORD).alias(name))
+    pairs = pairs.join(side("i", "x"), "i").join(side("j", "y"), "j")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     both = lambda c: (x(c) != "") & (y(c) != "")
     programme = both("programme") & (x("programme") == y("programme"))
     employer = ~both("employer") | (F.levenshtein(x("employer"), y("employer")) <= 2)
     place = F.when(both("city"), x("city") == y("city")).otherwise(~both("region") | (x("region") == y("region")))
-    # Where nothing but the text speaks, the name of the programme or a good part of the text must.
     agrees = employer & place & (~both("programme") | programme | (F.levenshtein(x("programme"), y("programme")) <= 2))
-    summed = (
-        pairs.where(agrees)
-        .groupBy(F.greatest(x("id"), y("id")).alias("b"), F.least(x("id"), y("id")).alias("a"))
-        .agg(F.sum("n").alias("s"), F.count("*").alias("k"), F.min(F.least(x("total"), y("total"))).alias("least"), F.max(programme).alias("programme"))
-    )
-    return summed.where(F.col("programme") | (F.col("s") >= 2 * COVERAGE * F.col("least"))).select("b", "a", F.col("s").alias("shared"), "least")
+    least = F.least(x("total"), y("total"))
+    # Where nothing but the text speaks, the name of the programme or a good part of the text must.
+    told = programme | (F.col("s") >= 2 * COVERAGE * least)
+    return pairs.where(agrees & told).select(F.greatest("i", "j").alias("b"), F.least("i", "j").alias("a"), F.col("s").alias("shared"), least.alias("least"))
 
 
-def links(new: DataFrame, accepted: DataFrame) -> DataFrame:
-    """``b, a``: for each chunk row of ``new`` records their near-duplicates among earlier ``accepted`` ones.
+def links(new: DataFrame, accepted: DataFrame, records: DataFrame) -> DataFrame:
+    """``b, a``: for each new record its near-duplicates among earlier ones.
 
-    Both are chunk tables; ``accepted`` may hold the new records as well, so
-    repeats within a batch are found too.
+    ``new`` and ``accepted`` are chunk tables; ``accepted`` may hold the new
+    records as well, so repeats within a batch are found too. ``records`` has
+    a row for each record of both.
     """
     sure = _links_by_identity(new, accepted).where(F.col("shared") >= COVERAGE * F.col("least")).select("b", "a")
     lonely = new.join(sure.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
-    loose = _links_of_vague(lonely, accepted)
+    loose = _links_of_vague(lonely, accepted, records)
     # Earlier vague records, which later ones that tell more repeat.
-    early = _links_of_vague(accepted.where(~_told()), new)
+    early = _links_of_vague(accepted.where(~_told()), new, records)
     loose = loose.unionByName(early).where(F.col("shared") >= COVERAGE * F.col("least")).select("b", "a")
     return sure.unionByName(loose).distinct()
 
@@ -121,7 +133,8 @@ def repeated_postings(history: DataFrame, new: DataFrame) -> DataFrame:
     facts = checkpoint(facts_of(history.select(*same, F.lit(False).alias("is_new")).unionByName(new.select(*same, F.lit(True).alias("is_new"))), "is_new", chunks=True))
     table = record_chunks(facts)
     fresh = record_chunks(facts.where("is_new"))
-    return earliest(links(fresh, table)).select(F.col("a").alias("posting_id_a"), F.col("b").alias("posting_id_b"))
+    records = facts.select(F.col("posting_id").alias("id"), _total().alias("total"), *RECORD[2:])
+    return earliest(links(fresh, table, records)).select(F.col("a").alias("posting_id_a"), F.col("b").alias("posting_id_b"))
 
 
 class ChunkTable:
@@ -141,7 +154,7 @@ class ChunkTable:
         """
         fresh = checkpoint(record_chunks(facts_of(batch, chunks=True)))
         known = self.spark.read.parquet(self.path).unionByName(fresh)
-        return earliest(links(fresh, known)).select(F.col("a").alias("posting_id_a"), F.col("b").alias("posting_id_b"))
+        return earliest(links(fresh, known, known.select(RECORD).distinct())).select(F.col("a").alias("posting_id_a"), F.col("b").alias("posting_id_b"))
 
     def accept(self, batch: DataFrame) -> DataFrame:
         """Checks a batch, appends what is new, and returns the repeats."""

@@ -287,8 +287,8 @@ FACTS = (
     "names array<bigint>, sentences array<bigint>, chunks array<struct<h:bigint,n:int>>"
 )
 FIELDS_OUT = ["post", "level", "city", "region", "employer", "employer_rest", "programme", "names", "sentences", "chunks"]
-#: Words of a chunk: at least, at most, and on average about four more than the least.
-CHUNK_MIN, CHUNK_MAX, CHUNK_MASK = 4, 24, 3
+#: Words of a chunk: at least, at most, and on average about eight more than the least.
+CHUNK_MIN, CHUNK_MAX, CHUNK_MASK = 6, 32, 7
 
 
 def hash64(text: str) -> int:
