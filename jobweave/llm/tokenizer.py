@@ -24,6 +24,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobweave.text import let
+
 #: Fixed value: how byte-level BPE with these vocabularies cuts texts into words.
 WORDS = (
     r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+"
@@ -49,9 +51,9 @@ def _ranks(path: str) -> dict[bytes, int]:
 def _rank_json(path: str) -> str:
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for piece, rank in _ranks(path).items():
-        h = piece.hex().upper()
+        h = piece.decode("latin-1")
         buckets[zlib.crc32(h.encode()) % BUCKETS][h] = rank
-    return json.dumps(buckets, separators=(",", ":"))
+    return json.dumps(buckets, separators=(",", ":"), ensure_ascii=False)
 
 
 @lru_cache(maxsize=4)
@@ -59,13 +61,26 @@ def _piece_json(path: str) -> str:
     ranks = _ranks(path)
     pieces = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = piece.hex().upper()
-    return json.dumps(pieces, separators=(",", ":"))
+        pieces[rank] = piece.decode("latin-1")
+    return json.dumps(pieces, separators=(",", ":"), ensure_ascii=False)
+
 
+def _with_ranks(path: str, body) -> Column:
+    """``body(rank)``, where ``rank`` looks up a piece: the map occurs once in the plan, bound to a name.
 
-def _lookup(path: str):
+    Pieces are strings with one character for each byte.
+    """
     table = F.from_json(F.lit(_rank_json(path)), "array<map<string,int>>")
-    return lambda piece: F.try_element_at(F.get(table, F.pmod(F.crc32(piece.cast("binary")), F.lit(BUCKETS)).cast("int")), piece)
+
+    def bound(t: Column) -> Column:
+        return body(lambda piece: F.try_element_at(F.get(t, F.pmod(F.crc32(piece.cast("binary")), F.lit(BUCKETS)).cast("int")), piece))
+
+    return let(table, bound)
+
+
+def _bytes(text: Column) -> Column:
+    """One character for each byte of the text's UTF-8 form."""
+    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
 def words(text: Column) -> Column:
@@ -81,14 +96,17 @@ def encode_word(word: Column, path: str) -> Column:
     so a word of n bytes needs 3n lookups. Of equal pairs the left one merges
     first.
     """
-    rank = _lookup(path)
+    return _with_ranks(path, lambda rank: let(_bytes(word), lambda w: _merged(w, rank)))
+
+
+def _merged(w: Column, rank) -> Column:
     state = "struct<p:array<string>,r:array<int>>"
     none = F.lit(2147483647)
     pair = lambda a, b: F.coalesce(rank(F.concat(a, b)), none)
-    bytes_ = F.hex(F.encode(word, "UTF-8"))
-    n = (F.length(bytes_) / 2).cast("int")
-    pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(bytes_, i * 2 - 1, F.lit(2)))
-    ranks = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: pair(F.substr(bytes_, i * 2 - 1, F.lit(2)), F.substr(bytes_, i * 2 + 1, F.lit(2)))))
+    n = F.length(w)
+    char = lambda i: F.substr(w, i, F.lit(1))
+    pieces = F.transform(F.sequence(F.lit(1), n), char)
+    ranks = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.coalesce(rank(F.substr(w, i, F.lit(2))), none)))
     start = F.struct(pieces.alias("p"), F.coalesce(ranks, F.array().cast("array<int>")).alias("r")).cast(state)
 
     def merge(acc: Column, _: Column) -> Column:
@@ -121,10 +139,9 @@ def encode(df: DataFrame, id_column: str = "doc_id", text: str = "text", path: s
     can't clash. There are no special tokens: their strings are plain text.
     """
     path = path or default_vocabulary()
-    rank = _lookup(path)
-    whole = lambda w: rank(F.hex(F.encode(w, "UTF-8")))
     rows = df.select(F.col(id_column).alias("id"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
-    known = rows.select("id", "h", F.transform(F.coalesce(words(F.col("t")), F.array().cast("array<string>")), lambda w: F.struct(w.alias("w"), whole(w).alias("i"))).alias("ws"))
+    cut = F.coalesce(words(F.col("t")), F.array().cast("array<string>"))
+    known = rows.select("id", "h", _with_ranks(path, lambda rank: F.transform(cut, lambda w: F.struct(w.alias("w"), rank(_bytes(w)).alias("i")))).alias("ws"))
     rest = known.select("id", "h", F.posexplode("ws").alias("pos", "x")).where(F.col("x.i").isNull()).select("id", "h", "pos", F.col("x.w").alias("w"))
     coded = rest.select("w").distinct().withColumn("ids", encode_word(F.col("w"), path))
     back = rest.join(coded, "w").groupBy("id", "h").agg(F.collect_set(F.struct("pos", "ids")).alias("more"))
@@ -139,4 +156,5 @@ def encode(df: DataFrame, id_column: str = "doc_id", text: str = "text", path: s
 def decode(ids: Column, path: str | None = None) -> Column:
     """The text of an array of ids: pieces' bytes, concatenated, read as UTF-8."""
     table = F.from_json(F.lit(_piece_json(path or default_vocabulary())), "array<string>")
-    return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")), "UTF-8")
+    joined = let(table, lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i)), ""))
+    return F.decode(F.encode(joined, "ISO-8859-1"), "UTF-8")
