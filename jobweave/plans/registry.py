@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobweave.plans import core_queries
+from jobweave.plans import core_queries, reference_queries
 
-MODULES = (core_queries,)
+MODULES = (core_queries, reference_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return core_queries.p2_found(spark, d)
+    return reference_queries.u03_market_search(spark, d)
