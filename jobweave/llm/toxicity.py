@@ -34,6 +34,8 @@ ORDER, DISCOUNT = 3, 0.75
 #: Words of a passage; longer sentences are cut into overlapping passages.
 PASSAGE = 16
 ROUNDS, FOLDS = 3, 4
+#: Threshold where the sample holds too few abusive documents to tune one.
+UNTUNED = 1.4
 
 #: Cyrillic and Greek letters and the Latin letters they are mistaken for.
 _LOOKALIKES = str.maketrans("аеорсухікмнтвԁѕјһԛԝαοερνιτκυАЕОРСУХІКМНТВЅЈΑΟΕΡΝΙΤΚΥΒΗΜΧ", "aeopcyxikmhtbdsjhqwaoepvitkuAEOPCYXIKMHTBSJAOEPNITKYBHMX")
@@ -216,7 +218,7 @@ def fit(labelled: list[tuple[str | None, int]], seeds: dict[bool, str] = SEEDS)
         if b and f1 >= best[0]:
             below = next((x for x, _ in held[n:]), s)
             best = (f1, (s + max(below, s - 0.5)) / 2)
-    scorer.threshold = best[1] if positives else 0.3
+    scorer.threshold = best[1] if positives else UNTUNED
     scorer.f1 = best[0]
     return scorer
 
