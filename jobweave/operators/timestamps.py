@@ -85,11 +85,12 @@ def _wall(year: Column, month: Column, day: Column, clock: dict[str, Column]) ->
 
 def _clock(text: Column) -> dict[str, Column]:
     """Clock time in the rest of a value; none is midnight, a broken one is null."""
-    pattern = r"^[,T\s]*(?:a |at |um |le )?\s*(\d{1,2})\s?[:h]\s?(\d{2})?(?::(\d{2})(?:[.,]\d+)?)?\s*(?:([AaPp]\.?[Mm]\.?)(?![A-Za-z]))?"
+    text = fold(text)
+    pattern = r"^[,t\s]*(?:a |at |um |le )?\s*(\d{1,2})\s?[:h]\s?(\d{2})?(?::(\d{2})(?:[.,]\d+)?)?\s*(?:([ap]\.?m\.?)(?![a-z]))?"
     has = text.rlike(r"\d")
     part = lambda i: F.coalesce(_int(F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))), F.lit(0))
     found = F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
-    hour, half = _int(found), F.lower(F.substring(F.regexp_extract(text, pattern, 4), 1, 1))
+    hour, half = _int(found), F.substring(F.regexp_extract(text, pattern, 4), 1, 1)
     hour = F.when(half == "p", F.when(hour == 12, 12).otherwise(hour + 12)).when((half == "a") & (hour == 12), 0).otherwise(hour)
     # Digits of a written offset alone ("+02:00") are no clock time.
     plain = ~has | text.rlike(r"^\s*[+-]\d")
@@ -147,23 +148,27 @@ def _readings(v: Column, fetched: Column, zone: Column, day_first: Column) -> Co
         sec = F.floor(number / F.lit(factor))
         out.append(one(f"epoch_{name}", F.when(sec.between(631152000, 4102444800), sec), ok))
 
+    # Civil readings: the same arithmetic for all of them, so the plan holds it once.
+    civil = lambda name, year, month, day, rest, cost: F.struct(
+        F.lit(name).alias("format"), _int(year).alias("y"), month.alias("m"), day.alias("d"), rest.alias("rest"), cost.cast("double").alias("cost")
+    )
     iso = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(.*)$"
-    rest = get(iso, 4)
-    out.append(one("iso", _zoned(_wall(_int(get(iso, 1)), _int(get(iso, 2)), _int(get(iso, 3)), _clock(rest)), rest, zone), ok))
-
     dmy = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})(.*)$"
-    rest = get(dmy, 4)
+    words = r"^(?:\p{L}+\.?,? )?(\d{1,2})(?:er|st|nd|rd|th|\.)? (?:de )?(\p{L}{3,})\.?,? (?:de )?(\d{4})(.*)$"
+    turned = r"^(?:\p{L}+, )?(\p{L}{3,})\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})(.*)$"
     a, b = _int(get(dmy, 1)), _int(get(dmy, 2))
-    for name, day, month, usual in (("dmy", a, b, day_first), ("mdy", b, a, ~day_first)):
-        sec = _zoned(_wall(_int(get(dmy, 3)), month, day, _clock(rest)), rest, zone)
-        out.append(one(name, sec, F.when(usual, 0.0).otherwise(FAR)))
-
-    text = r"^(?:\p{L}+\.?,? )?(\d{1,2})(?:er|st|nd|rd|th|\.)? (?:de )?(\p{L}{3,})\.?,? (?:de )?(\d{4})(.*)$"
-    rest = get(text, 4)
-    out.append(one("day_month", _zoned(_wall(_int(get(text, 3)), _month(get(text, 2)), _int(get(text, 1)), _clock(F.regexp_replace(rest, "^,? ?à ", " "))), rest, zone), ok))
-    text = r"^(?:\p{L}+, )?(\p{L}{3,})\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})(.*)$"
-    rest = get(text, 4)
-    out.append(one("month_day", _zoned(_wall(_int(get(text, 3)), _month(get(text, 1)), _int(get(text, 2)), _clock(rest)), rest, zone), ok))
+    forms = F.filter(
+        F.array(
+            civil("iso", get(iso, 1), _int(get(iso, 2)), _int(get(iso, 3)), get(iso, 4), ok),
+            civil("dmy", get(dmy, 3), b, a, get(dmy, 4), F.when(day_first, 0.0).otherwise(FAR)),
+            civil("mdy", get(dmy, 3), a, b, get(dmy, 4), F.when(~day_first, 0.0).otherwise(FAR)),
+            civil("day_month", get(words, 3), _month(get(words, 2)), _int(get(words, 1)), get(words, 4), ok),
+            civil("month_day", get(turned, 3), _month(get(turned, 1)), _int(get(turned, 2)), get(turned, 4), ok),
+        ),
+        lambda c: c["y"].isNotNull() & c["m"].isNotNull() & c["d"].isNotNull(),
+    )
+    instant = lambda c: let(_wall(c["y"], c["m"], c["d"], _clock(c["rest"])), lambda wall: _zoned(wall, c["rest"], zone))
+    dated = F.transform(forms, lambda c: F.struct(c["format"].alias("format"), instant(c).cast("bigint").alias("sec"), c["cost"].alias("cost")))
 
     low = fold(v)
     back = r"^(?:il y a|hace|vor|ha|posted|publie il y a|publiee il y a|publicado hace)?\s*(?:environ|about|etwa)?\s*(\d{1,4}|une?|an?|eine[mnr]?|uno|una|un)\+?\s*([a-z]+)\.?(?: ago| fa| atras)?$"
@@ -179,7 +184,7 @@ def _readings(v: Column, fetched: Column, zone: Column, day_first: Column) -> Co
     out.append(one("relative", fetched - days * 86400, ok))
 
     late = lambda r: F.struct(r["format"], r["sec"], (r["cost"] + F.when(r["sec"] > fetched + 172800, FUTURE).otherwise(0.0)).alias("cost"))
-    valid = F.filter(F.array(*out), lambda r: r["sec"].isNotNull())
+    valid = F.filter(F.concat(F.array(*out[:4]), dated, F.array(*out[4:])), lambda r: r["sec"].isNotNull())
     return F.coalesce(F.transform(valid, late), F.array().cast(_READING))
 
 
