@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobweave.operators import market, texts
+from jobweave.operators import market, match, resume, texts
 from jobweave.session import table
 from jobweave.sources import providers
 
@@ -289,3 +289,101 @@ def u01_all_providers(spark, d):
     return providers.union_all([providers.normalise(_pages(spark, d, p), p) for p in ("france_travail", "adzuna", "lever", "jsearch", "ashby", "remoteok", "usajobs")]).select(
         "source", "source_id", "title", "company", "location", "remote", "url", "apply_url", "date_posted", "salary", "tags"
     )
+
+
+_STINTS = """(SELECT DISTINCT cv_id, substring(p, 1, 4)::INT AS first, substring(p, 6, 4)::INT AS last FROM (SELECT cv_id,
+unnest(regexp_extract_all(raw_text, '\\(((?:19|20)[0-9]{2}-(?:19|20)[0-9]{2})\\)', 1)) AS p FROM """ + _CV + """) WHERE substring(p, 1, 4) <= substring(p, 6, 4))"""
+
+
+@query(f"SELECT cv_id, after, until FROM (SELECT cv_id, last AS after, lead(first) OVER (PARTITION BY cv_id ORDER BY first, last) AS until FROM {_STINTS}) WHERE until - after > 1")
+def w01_work_gaps(spark, d):
+    return resume.gaps(resume.stints(_cvs(spark, d), "cv_id", "raw_text"), "cv_id")
+
+
+@query(f"SELECT cv_id, sum(last - first)::BIGINT AS years, count(*) AS periods, sum((last = first)::INT)::BIGINT AS short FROM {_STINTS} GROUP BY cv_id")
+def a14_work_years(spark, d):
+    return resume.work_years(resume.stints(_cvs(spark, d), "cv_id", "raw_text"), "cv_id")
+
+
+@query("""SELECT doc_id, len(list_filter(range(2, len(t) + 1), lambda i: t[i] = t[i - 1])) AS doubled
+FROM (SELECT doc_id, regexp_extract_all(lower(text), '\\p{L}{2,}') AS t FROM documents WHERE text IS NOT NULL)""")
+def x19_doubled_words(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", resume.doubled_words(F.col("text")).cast("bigint").alias("doubled"))
+
+
+@query(f"""SELECT cv_id, round(greatest(length(raw_text) / 3500, filled / 45), 4) AS pages FROM {_CV} JOIN (SELECT cv_id, sum((line <> '')::INT) AS filled FROM {_LINES} GROUP BY cv_id) USING (cv_id)""")
+def x18_pages(spark, d):
+    return resume.pages(_cvs(spark, d).where("raw_text is not null"), "cv_id", "raw_text")
+
+
+@query("""SELECT doc_id, n AS words, round(n / 130 * 60)::INT AS seconds, regexp_matches(text, '[0-9]{2,}|[0-9] ?[%€$£k]') AS quantified
+FROM (SELECT doc_id, text, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n FROM documents WHERE kind = 'interview_answer' AND text IS NOT NULL)""")
+def p26_answer_metrics(spark, d):
+    answers = table(spark, d, "documents").where("kind = 'interview_answer' and text is not null")
+    return answers.select("doc_id", *(c.alias(n) for n, c in resume.answer_metrics(F.col("text")).items()))
+
+
+_OFFER_LINES = """(SELECT doc_id, n - 1 AS line_no, trim(regexp_replace(xs[n], '\\s+', ' ', 'g')) AS line FROM
+(SELECT doc_id, xs, unnest(generate_series(1, len(xs))) AS n FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS xs FROM documents WHERE kind = 'offer' AND text IS NOT NULL)))"""
+_WANTED = f"""(WITH l AS (SELECT *, trim(regexp_replace(lower(strip_accents(line)), '\\s*:\\s*$', '')) AS h FROM {_OFFER_LINES}),
+k AS (SELECT *, CASE WHEN regexp_matches(h, '{match.MUST}') THEN 'must' WHEN regexp_matches(h, '{match.NICE}') THEN 'nice' WHEN regexp_matches(h, '{match.OTHER}') THEN 'other'
+  WHEN line = '' AND lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) = '' THEN 'other' END AS mark FROM l),
+p AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS kind FROM k),
+t AS (SELECT doc_id, kind, unnest(regexp_split_to_array(trim(regexp_replace(lower(line), '^[-*•◦·▸▹–—\\s]+', '')), '{match.TERM_LINK}')) AS term
+  FROM p WHERE mark IS NULL AND kind IN ('must', 'nice') AND line <> '')
+SELECT doc_id, min(kind) AS kind, term FROM t WHERE term <> '' GROUP BY doc_id, term)"""
+
+
+@query(f"SELECT doc_id, kind, term FROM {_WANTED}")
+def x10_offer_requirements(spark, d):
+    return match.requirements(table(spark, d, "documents").where("kind = 'offer' and text is not null"), "doc_id", "text")
+
+
+_HELD = """(SELECT DISTINCT doc_id AS cv, rtrim(unnest(regexp_extract_all(lower(text), '\\.?[\\p{L}\\p{N}][\\p{L}\\p{N}+#.-]*')), '.') AS term FROM documents WHERE kind = 'resume' AND text IS NOT NULL)"""
+_COVERED = f"""(WITH w AS {_WANTED}, h AS {_HELD}, pairs AS (SELECT o.doc_id, c.doc_id AS cv FROM (SELECT doc_id FROM documents WHERE kind = 'offer') o
+JOIN (SELECT doc_id FROM documents WHERE kind = 'resume') c ON c.doc_id = o.doc_id + 1)
+SELECT cv, w.doc_id, kind, w.term, EXISTS (SELECT 1 FROM h WHERE h.cv = pairs.cv AND (h.term = w.term OR list_contains(regexp_split_to_array(w.term, '\\s+'), h.term))) AS covered
+FROM pairs JOIN w USING (doc_id))"""
+
+
+def _covered(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "kind", "text")
+    offers, cvs = docs.where("kind = 'offer'"), docs.where("kind = 'resume'").withColumnRenamed("doc_id", "cv")
+    pairs = offers.select("doc_id").withColumn("cv", F.col("doc_id") + 1).join(cvs.select("cv"), "cv")
+    wanted = match.requirements(offers.where("text is not null"), "doc_id", "text")
+    return match.coverage(pairs, wanted, match.terms_of(cvs.where("text is not null"), "cv", "text"), "doc_id", "cv")
+
+
+@query(f"SELECT * FROM {_COVERED}")
+def j01_coverage(spark, d):
+    """Offers against the CV that follows them in the documents, as a table of given pairs."""
+    return _covered(spark, d)
+
+
+@query(f"""SELECT cv, doc_id, round(100 * (0.75 * coalesce(avg(covered::INT) FILTER (WHERE kind = 'must'), 0) + 0.25 * coalesce(avg(covered::INT) FILTER (WHERE kind = 'nice'), 0)), 2) AS score,
+sum((NOT covered AND kind = 'must')::INT)::BIGINT AS missing_must FROM {_COVERED} GROUP BY cv, doc_id""")
+def a06_match_score(spark, d):
+    return match.score(_covered(spark, d), "doc_id", "cv")
+
+
+@query(f"""SELECT posting_id, coalesce(CASE regexp_extract(lower(strip_accents(title)), '\\b(junior|senior|lead|principal|stagiaire|stage|confirme)\\b', 1) WHEN 'stagiaire' THEN 0 WHEN 'stage' THEN 0
+WHEN 'junior' THEN 1 WHEN 'confirme' THEN 2 WHEN 'senior' THEN 3 WHEN 'lead' THEN 4 WHEN 'principal' THEN 5 END, -1) AS level_rank FROM {_LATEST}""")
+def x12_level_rank(spark, d):
+    return _postings(spark, d).select("posting_id", F.coalesce(match.level_rank(F.col("title")), F.lit(-1)).alias("level_rank"))
+
+
+@query("SELECT source FROM job_postings EXCEPT SELECT source FROM provider_pages")
+def u05_except(spark, d):
+    return table(spark, d, "job_postings", "source").subtract(table(spark, d, "provider_pages", "source"))
+
+
+@query("SELECT source FROM job_postings INTERSECT SELECT source FROM provider_pages")
+def u06_intersect(spark, d):
+    return table(spark, d, "job_postings", "source").intersect(table(spark, d, "provider_pages", "source"))
+
+
+@query("""SELECT batch_no, count(*) AS n, count(DISTINCT source) AS sources, min(detected_at) AS first_at, max(detected_at) AS last_at FROM monitor_new_jobs GROUP BY batch_no""")
+def a18_batch_envelope(spark, d):
+    return table(spark, d, "monitor_new_jobs").groupBy("batch_no").agg(
+        F.count("*").alias("n"), F.countDistinct("source").alias("sources"), F.min("detected_at").alias("first_at"), F.max("detected_at").alias("last_at")
+    )

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobweave.operators.timestamps import _iso
 from jobweave.sources.payloads import json_list
 
 POSTING = ["source", "source_id", "title", "company", "location", "remote", "url", "apply_url", "date_posted", "description", "salary", "tags", "raw"]
@@ -43,8 +44,10 @@ def _strings(path: str, field: str | None = None) -> Column:
     return F.coalesce(F.filter(xs, lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))
 
 
-def epoch_iso(seconds: Column) -> Column:
-    return F.date_format(F.to_timestamp_ntz(F.timestamp_seconds(seconds).cast("string")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+def _iso_of_epoch(text: Column, per_second: int = 1) -> Column:
+    """An epoch as ISO time in UTC; other texts stay."""
+    seconds = F.floor(text.try_cast("decimal(20,3)") / per_second)
+    return F.when(text.rlike(r"^\d+(?:\.\d+)?$"), _iso(seconds)).otherwise(text)
 
 
 def _range(low: Column, high: Column, sep: str, unit: Column | None = None) -> Column:
@@ -59,14 +62,14 @@ def _none() -> Column:
 #: For each provider: key of the items (None: a bare list) and the fields that differ from null.
 SPECS: dict[str, tuple[str | None, Callable[[], dict[str, Column]]]] = {
     "greenhouse": ("jobs", lambda: dict(source_id=_g("id"), title=_g("title"), location=_g("location.name"), url=_g("absolute_url"), date_posted=_g("updated_at"), description=_g("content"))),
-    "lever": ("data", lambda: dict(source_id=_g("id"), title=_g("text"), location=_g("categories.location"), remote=F.when(_t(_g("workplaceType")).isNotNull(), _g("workplaceType") == "remote"), url=_g("hostedUrl"), apply_url=_g("applyUrl"), date_posted=_g("createdAt"), description=_first(_g("descriptionPlain"), _g("description")))),
+    "lever": ("data", lambda: dict(source_id=_g("id"), title=_g("text"), location=_g("categories.location"), remote=F.when(_t(_g("workplaceType")).isNotNull(), _g("workplaceType") == "remote"), url=_g("hostedUrl"), apply_url=_g("applyUrl"), date_posted=_iso_of_epoch(_t(_g("createdAt")), 1000), description=_first(_g("descriptionPlain"), _g("description")))),
     "ashby": ("jobs", lambda: dict(source_id=_g("id"), title=_g("title"), location=_g("location"), remote=_bool(_g("isRemote")), url=_g("jobUrl"), apply_url=_g("applyUrl"), date_posted=_g("publishedDate"), description=_first(_g("descriptionPlain"), _g("descriptionHtml")), salary=_t(F.array_join(_strings("compensation.summaryComponents", "value"), " / ")))),
     "recruitee": ("offers", lambda: dict(source_id=_g("id"), title=_g("title"), location=_t(F.concat_ws(", ", _t(_g("city")), _t(_g("country")))), remote=_bool(_g("remote")), url=_g("careers_url"), date_posted=_g("created_at"), description=_g("description"), salary=_range(_g("salary_from"), _g("salary_to"), " – ", _g("salary_currency")))),
     "workable": ("jobs", lambda: dict(source_id=_g("shortcode"), title=_first(_g("full_title"), _g("title")), location=_t(F.concat_ws(", ", _t(_g("location.city")), _t(_g("location.region")), _t(_g("location.country")))), remote=_bool(_g("location.telecommuting")), url=_g("url"), apply_url=_g("application_url"), date_posted=_g("created_at"), description=_g("description"))),
     "smartrecruiters": ("content", lambda: dict(source_id=_g("id"), title=_g("name"), company=_g("company.name"), location=_t(F.concat_ws(", ", _t(_g("location.city")), _t(_g("location.region")), _t(_g("location.country")))), remote=_bool(_g("location.remote.enabled")), url=_first(_g("applyUrl"), F.concat(F.lit("https://jobs.smartrecruiters.com/"), _g("id"))), apply_url=_g("applyUrl"), date_posted=_g("releasedDate"), description=_g("jobAd.sections.jobDescription.text"))),
-    "remoteok": ("data", lambda: dict(source_id=_g("id"), title=_g("position"), company=_g("company"), location=_t(_g("location")), remote=F.lit(True), url=_g("url"), apply_url=_g("apply_url"), date_posted=F.coalesce(_t(_g("epoch")), _t(_g("date"))), description=_g("description"), salary=_range(_t(_g("salary_min")), _t(_g("salary_max")), " – "), tags=_strings("tags"))),
+    "remoteok": ("data", lambda: dict(source_id=_g("id"), title=_g("position"), company=_g("company"), location=_t(_g("location")), remote=F.lit(True), url=_g("url"), apply_url=_g("apply_url"), date_posted=F.coalesce(_iso_of_epoch(_t(_g("epoch"))), _t(_g("date"))), description=_g("description"), salary=_range(_t(_g("salary_min")), _t(_g("salary_max")), " – "), tags=_strings("tags"))),
     "remotive": ("jobs", lambda: dict(source_id=_g("id"), title=_g("title"), company=_g("company_name"), remote=F.lit(True), url=_g("url"), date_posted=_g("publication_date"), description=_g("description"), salary=_t(_g("salary")), tags=_strings("tags"))),
-    "arbeitnow": ("data", lambda: dict(source_id=_g("slug"), title=_g("title"), company=_g("company_name"), location=_t(_g("location")), remote=_bool(_g("remote")), url=_g("url"), date_posted=_g("created_at"), description=_g("description"), tags=_strings("tags"))),
+    "arbeitnow": ("data", lambda: dict(source_id=_g("slug"), title=_g("title"), company=_g("company_name"), location=_t(_g("location")), remote=_bool(_g("remote")), url=_g("url"), date_posted=_iso_of_epoch(_t(_g("created_at"))), description=_g("description"), tags=_strings("tags"))),
     "careerjet": ("jobs", lambda: dict(source_id=_t(F.substring_index(F.rtrim(_g("url"), F.lit("/")), "/", -1)), title=_g("title"), company=_t(_g("company")), location=_t(_g("locations")), url=_g("url"), date_posted=_t(_g("date")), description=_g("description"))),
     "france_travail": ("resultats", lambda: dict(source_id=_g("id"), title=_g("intitule"), company=_g("entreprise.nom"), location=_g("lieuTravail.libelle"), url=_first(_g("origineOffre.urlOrigine"), F.concat(F.lit("https://candidat.francetravail.fr/offres/recherche/detail/"), _g("id"))), date_posted=_first(_g("dateCreation"), _g("dateActualisation")), description=_g("description"), salary=_g("salaire.libelle"), tags=_strings("competences", "libelle"))),
     "adzuna": ("results", lambda: dict(source_id=_g("id"), title=_g("title"), company=_g("company.display_name"), location=_g("location.display_name"), url=_g("redirect_url"), date_posted=_g("created"), description=_g("description"), salary=F.when(_g("salary_min").isNotNull() | _g("salary_max").isNotNull(), F.concat(F.coalesce(_g("salary_min"), F.lit("?")), F.lit("–"), F.coalesce(_g("salary_max"), F.lit("?")))), tags=F.when(_t(_g("category.label")).isNotNull(), F.array(_g("category.label"))))),
@@ -82,8 +85,8 @@ SPECS: dict[str, tuple[str | None, Callable[[], dict[str, Column]]]] = {
 def normalise(pages: DataFrame, provider: str, *keep: str) -> DataFrame:
     """``keep`` columns and POSTING columns of one provider's answers (column ``payload``).
 
-    Broken and null payloads give no rows. Times stay as the provider writes
-    them; ``operators.timestamps`` reads them.
+    Broken and null payloads give no rows. Epochs become ISO times; other
+    wordings stay, and ``operators.timestamps`` reads them.
     """
     envelope, fields = SPECS[provider]
     text = F.trim("payload")

@@ -4,8 +4,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from jobweave.operators import market, texts
-from jobweave.sources import providers
+from jobweave.operators import market, match, texts
+from jobweave.sources import providers, sinks
 from jobweave.streaming.monitor import watch
 
 POSTING = "posting_id bigint, title string, company string, location string, remote boolean, apply_url string, date_posted string, description string, salary string, tags array<string>"
@@ -59,6 +59,34 @@ def test_normalisers(spark):
         assert providers.normalise(page("[]"), name).columns == providers.POSTING
 
 
+def test_times_of_normalisers(spark):
+    page = lambda p: spark.createDataFrame([(p,)], "payload string")
+    assert [r.date_posted for r in providers.normalise(page('[{"id": "a", "createdAt": 1772441724123}, {"id": "b", "createdAt": "2026-01-02"}]'), "lever").collect()] == ["2026-03-02T08:55:24Z", "2026-01-02"]
+    assert [r.date_posted for r in providers.normalise(page('{"data": [{"slug": "a", "created_at": 1772441724}]}'), "arbeitnow").collect()] == ["2026-03-02T08:55:24Z"]
+
+
+def test_requirements_and_score(spark):
+    offers = spark.createDataFrame([(1, "Title\nRequirements:\n- Python, Go\n- K8s and Kafka\n\n\nIgnored\nNice to have\nRust\nGo"), (2, None), (3, "")], "offer bigint, text string")
+    wanted = match.requirements(offers, "offer", "text")
+    assert {(r.kind, r.term) for r in wanted.collect()} == {("must", "python"), ("must", "go"), ("must", "k8s"), ("must", "kafka"), ("nice", "rust")}
+    cvs = spark.createDataFrame([(7, "Python, kubernetes; Rust."), (8, None)], "cv bigint, text string")
+    synonyms = spark.createDataFrame([("k8s", "kubernetes")], "alias string, canonical string")
+    held, asked = match.canonical(match.terms_of(cvs, "cv", "text"), synonyms), match.canonical(wanted, synonyms)
+    pairs = spark.createDataFrame([(1, 7), (1, 8)], "offer bigint, cv bigint")
+    got = {r.cv: (r.score, r.missing_must) for r in match.score(match.coverage(pairs, asked, held, "offer", "cv"), "offer", "cv").collect()}
+    assert got == {7: (62.5, 2), 8: (0.0, 4)}
+
+
+def test_sinks(spark, tmp_path):
+    log = str(tmp_path / "log")
+    rows = lambda *r: spark.createDataFrame(r, "id int, stage string")
+    assert sinks.read_store(spark, log, rows((1, "a")).schema).count() == 0
+    sinks.upsert(rows((1, "a"), (2, "a")), log)
+    sinks.upsert(rows((1, "b")), log)
+    assert {(r.id, r.stage) for r in sinks.current(spark, log, "id").collect()} == {(1, "b"), (2, "a")}
+    assert [r.id for r in sinks.append_valid(rows((3, " "), (4, "x")), ["stage"], str(tmp_path / "v")).collect()] == [3]
+
+
 def test_sections_and_confidence(spark):
     df = spark.createDataFrame([(1, "Jane\nProfil :\nHello\r\n\r\nÉDUCATION\nMSc"), (2, None), (3, "")], "cv_id bigint, raw_text string")
     assert [(r.name, r.text) for r in texts.sections(df, "cv_id", "raw_text").orderBy("section_no").collect()] == [("summary", "Hello"), ("education", "MSc")]
