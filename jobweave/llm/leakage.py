@@ -35,7 +35,7 @@ DEPTH = 8
 #: Most words between two verbatim matches of a chain, on either side.
 GAP = 4
 #: Words that a passage with changed words must keep and span, and the share it must keep.
-MIN_KEPT, MIN_SPAN, MIN_SHARE = 12, 14, 0.7
+MIN_KEPT, MIN_SPAN, MIN_SHARE = 13, 15, 0.7
 #: In a changed passage, one word of so many may stand where the item has another word of the items' vocabulary.
 FOREIGN_EVERY = 25
 
@@ -81,7 +81,8 @@ def chains(hits: list[tuple[int, int, int]], doc: list[int], item: list[int]) ->
         skip = max(found[2] - d, found[3] - i, 0)
         between, meant = doc[found[2] : d + skip], item[found[3] : i + skip]
         same = sum(b.size for b in SequenceMatcher(None, between, meant, autojunk=False).get_matching_blocks())
-        found[6] += sum(w > 0 for w in between) - same
+        # A word left out is as telling as one exchanged for another item's word.
+        found[6] += sum(w > 0 for w in between) - same + (not between and bool(meant))
         found[2], found[3], found[4], found[5] = d + n, i + n, found[4] + same + n - skip, max(found[5], n)
     return sorted(((c[0], c[2], c[3] - c[1], *c[4:]) for c in best), key=lambda c: -c[3])
 

@@ -143,7 +143,9 @@ def encode(df: DataFrame, id_column: str = "doc_id", text: str = "text", path: s
     cut = F.coalesce(words(F.col("t")), F.array().cast("array<string>"))
     known = rows.select("id", "h", _with_ranks(path, lambda rank: F.transform(cut, lambda w: F.struct(w.alias("w"), rank(_bytes(w)).alias("i")))).alias("ws"))
     rest = known.select("id", "h", F.posexplode("ws").alias("pos", "x")).where(F.col("x.i").isNull()).select("id", "h", "pos", F.col("x.w").alias("w"))
-    coded = rest.select("w").distinct().withColumn("ids", encode_word(F.col("w"), path))
+    # Distinct words are few bytes but much work: a fixed number of partitions keeps them from being merged into one task.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    coded = rest.select("w").distinct().repartition(n, "w").withColumn("ids", encode_word(F.col("w"), path))
     back = rest.join(coded, "w").groupBy("id", "h").agg(F.collect_set(F.struct("pos", "ids")).alias("more"))
     back = back.select(F.col("id").alias("b_id"), F.col("h").alias("b_h"), "more")
     both = known.join(back, F.col("id").eqNullSafe(F.col("b_id")) & (F.col("h") == F.col("b_h")), "left")
