@@ -64,6 +64,7 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
         F.when(named, F.array(key("identity", F.col("employer"), F.col("city")))).otherwise(F.array().cast("array<bigint>")),
         F.when(F.col("programme") != "", F.array(key("programme", F.col("programme")))).otherwise(F.array().cast("array<bigint>")),
         F.transform("names", lambda n: key("name", n)),
+        F.when(F.col("city") != "", F.transform("sentences", lambda s: key("sentence", s, F.col("city")))).otherwise(F.array().cast("array<bigint>")),
     )
     rows = reps.select("id", "source", F.explode(F.array_distinct(keys)).alias("key"))
     other = rows.select(F.col("id").alias("b"), F.col("source").alias("b_source"), "key")
@@ -77,7 +78,14 @@ def candidate_pairs(reps: DataFrame) -> DataFrame:
         .where((F.col("id") != F.col("v")) & (F.col("source") != F.col("v_source")) & ((F.col("region") == F.col("v_region")) | (F.col("region") == "") | (F.col("v_region") == "")))
         .select(F.least("id", "v").alias("a"), F.greatest("id", "v").alias("b"))
     )
-    return by_key.unionByName(by_employer).distinct()
+    # The same for a post of which a part can't be read: employer, level and place must do.
+    spot = F.xxhash64("level", "employer", "city")
+    part = reps.where(named & F.col("post").rlike(INCOMPLETE)).select(F.col("id").alias("v"), F.col("source").alias("v_source"), spot.alias("key"))
+    by_place = (
+        part.join(reps.where(named).select("id", "source", spot.alias("key")), "key")
+        .where((F.col("id") != F.col("v")) & (F.col("source") != F.col("v_source"))).select(F.least("id", "v").alias("a"), F.greatest("id", "v").alias("b"))
+    )
+    return by_key.unionByName(by_employer).unionByName(by_place).distinct()
 
 
 def prior(employers: dict[str, int], rows: int, a: str = "x", b: str = "y") -> Column:

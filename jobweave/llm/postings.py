@@ -131,12 +131,18 @@ class Speller:
         for i in range(len(w)):
             yield w[:i] + w[i + 1 :]
 
+    def candidates(self, w: str) -> set[str]:
+        """Vocabulary words within one error."""
+        if w in self.words or len(w) < 4:
+            return {w} & self.words
+        return {v for d in self._deletes(w) for v in self.near.get(d, ()) if abs(len(v) - len(w)) <= 1}
+
     def __call__(self, w: str) -> str:
         if w in self.words or len(w) < 4:
             return w
         known = self.memo.get(w)
         if known is None:
-            hits = {v for d in self._deletes(w) for v in self.near.get(d, ()) if abs(len(v) - len(w)) <= 1}
+            hits = self.candidates(w)
             if hits:
                 known = min(hits, key=lambda v: (abs(len(v) - len(w)), sorted(v) != sorted(w), v[0] != w[0], v))
             else:
@@ -231,11 +237,15 @@ class Reader:
             for n in (3, 2, 1):
                 for i in range(len(words) - n + 1):
                     city = city or self.cities.get(" ".join(words[i : i + n]), "")
+            region = self.region_of.get(city, "") or next((v for k, v in self.regions.items() if re.search(rf"\b{k}\b", joined)), "")
             for n in (2, 1):
                 for i in range(len(words) - n + 1):
-                    if not city and (s := "".join(words[i : i + n])) not in ("france", "remote"):
-                        city = self.joined.get(self.city_spell(s), "")
-            region = self.region_of.get(city, "") or next((v for k, v in self.regions.items() if re.search(rf"\b{k}\b", joined)), "")
+                    s = "".join(words[i : i + n])
+                    if not city and s not in ("france", "remote") and (not region or s not in region.replace(" ", "")):
+                        hits = {self.joined[x] for x in self.city_spell.candidates(s)}
+                        # A spelling that could be several cities tells none.
+                        city = hits.pop() if len(hits) == 1 else ""
+            region = region or self.region_of.get(city, "")
             known = (city, region)
             if len(self.spots) < 100_000:
                 self.spots[key] = known
@@ -266,8 +276,8 @@ class Reader:
         post, level, sure = self.title(title)
         head, programme, names, sentences = self.text(description)
         city, region = self.place(location)
-        if not city and head:
-            # The head of a text often names the place; it counts where it lies in the stated region.
+        if not city and _PROGRAMME.search(head):
+            # A head that introduces the programme names its place; it counts where it lies in the stated region.
             found, where = self.place(" ".join(_CAP.findall(head)) + " " + head.rstrip(". ").rsplit(",", 1)[-1])
             if found and (not region or region == where):
                 city, region = found, where
