@@ -153,15 +153,17 @@ def _readings(v: Column, fetched: Column, zone: Column, day_first: Column) -> Co
         F.lit(name).alias("format"), _int(year).alias("y"), month.alias("m"), day.alias("d"), rest.alias("rest"), cost.cast("double").alias("cost")
     )
     iso = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(.*)$"
-    dmy = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})(.*)$"
+    dmy = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4}|\d{2}(?!\d))(.*)$"
     words = r"^(?:\p{L}+\.?,? )?(\d{1,2})(?:er|st|nd|rd|th|\.)? (?:de )?(\p{L}{3,})\.?,? (?:de )?(\d{4})(.*)$"
     turned = r"^(?:\p{L}+, )?(\p{L}{3,})\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})(.*)$"
     a, b = _int(get(dmy, 1)), _int(get(dmy, 2))
+    # A year of two digits lies in this century.
+    year = F.when(F.length(get(dmy, 3)) == 2, F.concat(F.lit("20"), get(dmy, 3))).otherwise(get(dmy, 3))
     forms = F.filter(
         F.array(
             civil("iso", get(iso, 1), _int(get(iso, 2)), _int(get(iso, 3)), get(iso, 4), ok),
-            civil("dmy", get(dmy, 3), b, a, get(dmy, 4), F.when(day_first, 0.0).otherwise(FAR)),
-            civil("mdy", get(dmy, 3), a, b, get(dmy, 4), F.when(~day_first, 0.0).otherwise(FAR)),
+            civil("dmy", year, b, a, get(dmy, 4), F.when(day_first, 0.0).otherwise(FAR)),
+            civil("mdy", year, a, b, get(dmy, 4), F.when(~day_first, 0.0).otherwise(FAR)),
             civil("day_month", get(words, 3), _month(get(words, 2)), _int(get(words, 1)), get(words, 4), ok),
             civil("month_day", get(turned, 3), _month(get(turned, 1)), _int(get(turned, 2)), get(turned, 4), ok),
         ),

@@ -47,6 +47,13 @@ def test_other_sources(spark):
     ) == ["2026-03-02T08:05:00Z", "2025-11-02T06:19:00Z", None, "2026-03-02T08:55:00Z", "2026-03-10T07:00:00Z", "2026-03-02T00:00:00Z"]
 
 
+def test_two_digit_years(spark):
+    assert times(spark, "france_travail", "28.04.26 20:56", "02.06.26 09:18", "13/10/25", "01-02-26T08:00+00:00", "00.00.00 00:00", "28.04.126 20:56", "31.02.26 10:00") == [
+        "2026-04-28T18:56:00Z", "2026-06-02T07:18:00Z", "2025-10-12T22:00:00Z", "2026-02-01T08:00:00Z", None, None, None,
+    ]
+    assert times(spark, "jsearch", "3/2/26 12:05 AM PST", "02/03/26") == ["2026-03-02T08:05:00Z", "2026-02-03T00:00:00Z"]
+
+
 def test_times_of_odd_pages(spark):
     lone = {"data": {"job_posted_at_datetime_utc": "2026-03-02"}}
     rows = [("jsearch", "a", lone), ("jsearch", "a", None), ("jsearch", "a", "{broken"), ("jsearch", "a", {"data": []}), ("jsearch", "a", {"data": [None, 5, "x", lone["data"]]}), ("remoteok", "a", [{"legal": "x"}, {"epoch": 1772441724}])]
