@@ -36,8 +36,10 @@ DEPTH = 8
 GAP = 4
 #: Words that a passage with changed words must keep and span, and the share it must keep.
 MIN_KEPT, MIN_SPAN, MIN_SHARE = 13, 15, 0.7
-#: In a changed passage, one word of so many may stand where the item has another word of the items' vocabulary.
+#: In a changed passage, one word of so many may be what another item has in the same slot.
 FOREIGN_EVERY = 25
+#: Words that a changed passage of fewer than MIN_SPAN words must keep.
+MIN_KEPT_SHORT = 10
 
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"<[^<>]{0,200}>")
@@ -58,17 +60,50 @@ def passage_words(text: str | None) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
-def chains(hits: list[tuple[int, int, int]], doc: list[int], item: list[int]) -> list[tuple[int, int, int, int, int, int]]:
+class Slots:
+    """What the items have in a slot, that is beside or between given words."""
+
+    def __init__(self, items: list[list[int]]) -> None:
+        self.pairs = {p for ws in items for p in zip(ws, ws[1:])}
+        self.fillers: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for ws in items:
+            for left, word, right in zip(ws, ws[1:], ws[2:]):
+                self.fillers[left, right].add(word)
+
+    def compare(self, doc: list[int], d: int, d_to: int, item: list[int], i: int, i_to: int) -> tuple[int, int, int]:
+        """Words kept, foreign words and changes at open slots in a gap between two verbatim matches.
+
+        Foreign is a word that some item has beside the same neighbour, or a
+        word left out between two that some item has side by side. An open slot
+        is one that items fill differently; more than one word exchanged at
+        once counts as such.
+        """
+        same = foreign = opened = 0
+        for tag, a, a_to, b, b_to in SequenceMatcher(None, doc[d:d_to], item[i:i_to], autojunk=False).get_opcodes():
+            if tag == "equal":
+                same += a_to - a
+                continue
+            for k in range(d + a, d + a_to):
+                foreign += doc[k] > 0 and ((doc[k - 1], doc[k]) in self.pairs or (doc[k], doc[k + 1]) in self.pairs)
+            if a == a_to:
+                foreign += (doc[d + a - 1], doc[d + a]) in self.pairs
+            other = len(self.fillers.get((item[i + b - 1], item[i + b_to]), ())) > b_to - b
+            opened += other or max(a_to - a, b_to - b) > 1
+        return same, foreign, opened
+
+
+def chains(hits: list[tuple[int, int, int]], doc: list[int], item: list[int], slots: Slots) -> list[tuple[int, int, int, int, int, int, int]]:
     """Maximal verbatim matches (doc position, item position, length) of one document and item to passages.
 
     A match continues a chain when it begins within GAP words after the
     chain's last match on both sides. ``doc`` and ``item`` hold the words'
     numbers. Returns (doc from, doc to, item words spanned, words kept,
-    longest match, foreign words), most words kept first. Foreign are a gap's
-    words that other items use: single words that were changed are rarely such,
-    slots of a shared turn of phrase always are.
+    longest match, foreign words, changes at open slots), most words kept
+    first. A gap's words are judged by ``slots``: a single word that was
+    changed is rarely what another item has there, the slots of a shared turn
+    of phrase always are.
     """
-    best: list[list[int]] = []  # doc from, item from, doc to, item to, kept, longest, foreign
+    best: list[list[int]] = []  # doc from, item from, doc to, item to, kept, longest, foreign, opened
     for d, i, n in sorted(hits):
         found = None
         for c in reversed(best[-50:]):
@@ -76,22 +111,27 @@ def chains(hits: list[tuple[int, int, int]], doc: list[int], item: list[int]) ->
             if skip < n and 0 <= d + skip - c[2] <= GAP and 0 <= i + skip - c[3] <= GAP and (found is None or c[4] > found[4]):
                 found = c
         if found is None:
-            best.append([d, i, d + n, i + n, n, n, 0])
+            best.append([d, i, d + n, i + n, n, n, 0, 0])
             continue
         skip = max(found[2] - d, found[3] - i, 0)
-        between, meant = doc[found[2] : d + skip], item[found[3] : i + skip]
-        same = sum(b.size for b in SequenceMatcher(None, between, meant, autojunk=False).get_matching_blocks())
-        # A word left out is as telling as one exchanged for another item's word.
-        found[6] += sum(w > 0 for w in between) - same + (not between and bool(meant))
+        same, foreign, opened = slots.compare(doc, found[2], d + skip, item, found[3], i + skip)
+        found[6] += foreign
+        found[7] += opened
         found[2], found[3], found[4], found[5] = d + n, i + n, found[4] + same + n - skip, max(found[5], n)
     return sorted(((c[0], c[2], c[3] - c[1], *c[4:]) for c in best), key=lambda c: -c[3])
 
 
-def is_leak(span: int, kept: int, longest: int, foreign: int) -> bool:
-    """Twelve successive words verbatim, or a longer passage in which only scattered words changed."""
+def is_leak(span: int, kept: int, longest: int, foreign: int, opened: int) -> bool:
+    """Twelve successive words verbatim, or a passage in which only scattered words changed.
+
+    One of fewer than MIN_SPAN words is too short to bear a change where
+    items differ: any look-alike would do.
+    """
     if longest >= MIN_WORDS:
         return True
-    return kept >= MIN_KEPT and span >= MIN_SPAN and kept >= MIN_SHARE * span and foreign * FOREIGN_EVERY <= span
+    if span < MIN_SPAN or kept < MIN_KEPT:
+        return span >= MIN_WORDS and kept >= max(MIN_KEPT_SHORT, MIN_SHARE * span) and foreign == opened == 0
+    return kept >= MIN_SHARE * span and foreign * FOREIGN_EVERY <= span
 
 
 class SuffixSearch:
@@ -101,6 +141,7 @@ class SuffixSearch:
         words = [(k, w) for k, t in items if (w := passage_words(t))]
         self.vocabulary = {w: n for n, w in enumerate(sorted({w for _, ws in words for w in ws}), 1)}
         self.items = [(k, [self.vocabulary[w] for w in ws]) for k, ws in words]
+        self.slots = Slots([ws for _, ws in self.items])
 
     def suffixes(self, docs: list[list[str]]):
         """The shard's words as numbers (0: in no item), and its suffix array with sort keys."""
@@ -153,8 +194,8 @@ class SuffixSearch:
             if sum(n for _, _, n in found) >= MIN_WORDS - 2:
                 at = int(starts[doc])
                 words = flat[at : starts[doc + 1]].tolist()
-                for lo, hi, span, kept, longest, foreign in chains([(d - at, i, n) for d, i, n in found], words, numbers[item]):
-                    if is_leak(span, kept, longest, foreign):
+                for lo, hi, span, kept, longest, foreign, opened in chains([(d - at, i, n) for d, i, n in found], words, numbers[item], self.slots):
+                    if is_leak(span, kept, longest, foreign, opened):
                         by_doc[doc].append((kept, item, lo, hi, span, longest))
         out = []
         for doc, passages in by_doc.items():

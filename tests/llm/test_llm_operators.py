@@ -247,6 +247,21 @@ def test_changed_passages(spark):
     assert {r.doc_id for r in leakage.find_leaks(df, spark.createDataFrame([(9, item)], "item_id int, text string")).collect()} == {1, 2, 4}
 
 
+def test_changed_words_of_other_items(spark):
+    item = "since a museum shop shares the spare rota sheet with a small bus garage the answer must say who formally warns the owner of the site first of all"
+    # Uses the fillers and the words of the first item's slots: "again" beside other words, "freezer log" for "rota sheet".
+    other = "the queue never forms again provided that perhaps a seaside orchard shares the spare freezer log with a large bus garage and they must say who quietly waits"
+    filled = " ".join({5: "again", 14: "perhaps", 21: "again", 23: ""}.get(k, w) for k, w in enumerate(item.split()))
+    alike = item.replace("rota sheet", "freezer log").replace("small", "large").replace("formally", "quietly")
+    short = "the answer must say who again warns the owner of the site"
+    shorter = "must say who again warns the owner of the site"
+    slot = "shop shares the spare freezer sheet with a small bus garage the"
+    named = "shares the spare rota sheet with a zealous bus garage the answer"
+    df = spark.createDataFrame(list(enumerate([filled, alike, short, shorter, slot, named])), "doc_id bigint, text string")
+    it = spark.createDataFrame([(9, item), (8, other)], "item_id int, text string")
+    assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(df, it).collect()} == {(0, 9), (2, 9)}
+
+
 # --- 10 content
 
 
