@@ -104,14 +104,17 @@ def chains(hits: list[tuple[int, int, int]], doc: list[int], item: list[int], sl
     of phrase always are.
     """
     best: list[list[int]] = []  # doc from, item from, doc to, item to, kept, longest, foreign, opened
+    near = best  # those that a later match may still continue
     for d, i, n in sorted(hits):
         found = None
-        for c in reversed(best[-50:]):
+        near = [c for c in near if d - c[2] <= GAP]
+        for c in reversed(near):
             skip = max(c[2] - d, c[3] - i, 0)
             if skip < n and 0 <= d + skip - c[2] <= GAP and 0 <= i + skip - c[3] <= GAP and (found is None or c[4] > found[4]):
                 found = c
         if found is None:
             best.append([d, i, d + n, i + n, n, n, 0, 0])
+            near.append(best[-1])
             continue
         skip = max(found[2] - d, found[3] - i, 0)
         same, foreign, opened = slots.compare(doc, found[2], d + skip, item, found[3], i + skip)

@@ -262,6 +262,14 @@ def test_changed_words_of_other_items(spark):
     assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(df, it).collect()} == {(0, 9), (2, 9)}
 
 
+def test_many_open_chains():
+    item = list(range(1, 1001))
+    # Between the two halves of a passage, sixty matches elsewhere in the item open chains of their own.
+    hits = [(0, 0, 10), *((8, 100 + 10 * k, 3) for k in range(60)), (11, 11, 10)]
+    best = leakage.chains(hits, [*range(1, 11), 0, *range(12, 22)], item, leakage.Slots([item]))
+    assert best[0] == (0, 21, 21, 20, 10, 0, 0) and len(best) == 61
+
+
 # --- 10 content
 
 
