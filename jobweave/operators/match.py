@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobweave.operators.texts import lines
@@ -17,6 +17,47 @@ OTHER = (
 )
 #: Ranks of levels.
 LEVELS = {"stagiaire": 0, "stage": 0, "junior": 1, "confirme": 2, "senior": 3, "lead": 4, "principal": 5}
+#: Other names of skills, by canonical name (from the reference's skill_synonyms.yaml).
+SYNONYMS = {
+    "kubernetes": "k8s",
+    "docker": "docker-compose|dockercompose",
+    "javascript": "js|javascript.js",
+    "typescript": "ts",
+    "python": "py|python3|python2",
+    "machine learning": "ml|apprentissage automatique|machine-learning",
+    "postgresql": "postgres|psql|postgresql db",
+    "ci/cd": "cicd|ci cd|continuous integration|continuous deployment|intégration continue|integration continue",
+    "gestion de projet": "project management|chef de projet|project manager|gestion projet",
+    "react": "reactjs|react.js|react js",
+    "vue": "vuejs|vue.js|vue js",
+    "angular": "angularjs|angular.js",
+    "nodejs": "node|node.js|node js|npm|express",
+    "redis": "redis db|redisdb",
+    "mongodb": "mongo|mongodb atlas",
+    "elasticsearch": "elastic|elk|opensearch",
+    "terraform": "tf|infrastructure as code|iac",
+    "ansible": "playbook",
+    "aws": "amazon web services|ec2|s3|lambda",
+    "gcp": "google cloud|google cloud platform|gke",
+    "azure": "microsoft azure|azure cloud",
+    "java": "jvm|openjdk",
+    "springboot": "spring|spring boot|spring framework",
+    "linux": "unix|bash|shell|ubuntu|debian",
+    "git": "github|gitlab|bitbucket|version control|contrôle de version|controle de version",
+    "agile": "scrum|kanban|méthode agile|methode agile|sprint",
+    "sql": "structured query language|mysql|sqlite|base de données|base de donnees",
+    "api": "rest api|restful|graphql|web services",
+    "devops": "dev ops|sre|site reliability",
+    "rust": "rust-lang",
+    "golang": "go|go lang|go language",
+    "scala": "akka|scala language",
+    "hadoop": "mapreduce|hive|spark|apache spark|big data",
+    "deep learning": "dl|apprentissage profond|deep-learning|neural network|réseau de neurones|reseau de neurones",
+    "nlp": "natural language processing|traitement du langage naturel|traitement automatique du langage|tal",
+    "pandas": "pandas python",
+}
+#: Share of characters that a requirement and a CV's word must have in common, in order, to count as spellings of one term.
+SPELLING = 0.85
 TERM_LINK = r"\s*(?:,|;|/|\bet\b|\band\b|\bou\b|\bor\b)\s*"
 
 
@@ -67,3 +108,86 @@ def level_rank(text: Column) -> Column:
     """Rank of the first level word in a text, or null."""
     word = F.regexp_extract(fold(text), r"\b(junior|senior|lead|principal|stagiaire|stage|confirme)\b", 1)
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in LEVELS.items() for x in kv)), word)
+
+
+def synonyms(spark: SparkSession) -> DataFrame:
+    """``alias, canonical`` of SYNONYMS."""
+    return spark.createDataFrame([(a, k) for k, names in SYNONYMS.items() for a in names.split("|")], "alias string, canonical string")
+
+
+def phrases_of(cvs: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
+    """``key, term``: names of skills in more than one word that a CV holds; ``aliases`` is small and fixed."""
+    rows = aliases.collect()
+    names = sorted({n for r in rows for n in r if " " in n})
+    if not names:
+        return cvs.select(key, F.lit("").alias("term")).limit(0)
+    words = F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}+#/.-]*[\p{L}\p{N}+#]"), 0), " ")
+    padded = F.concat(F.lit(" "), words, F.lit(" "))
+    return cvs.select(key, F.explode(F.filter(F.lit(names), lambda n: padded.contains(F.concat(F.lit(" "), n, F.lit(" "))))).alias("term")).distinct()
+
+
+def _common(pairs):
+    """Twice the longest common subsequence over both lengths, of ``x`` and ``y``."""
+    import pandas as pd
+
+    def lcs(x: str, y: str) -> int:
+        row = [0] * (len(y) + 1)
+        for a in x:
+            last = 0
+            for k, b in enumerate(y, 1):
+                last, row[k] = row[k], last + 1 if a == b else max(row[k], row[k - 1])
+        return row[-1]
+
+    for pdf in pairs:
+        share = [2 * lcs(x, y) / (len(x) + len(y)) for x, y in zip(pdf["x"], pdf["y"])]
+        yield pd.DataFrame({"asked": pdf["asked"], "term": pdf["y"], "share": pd.Series(share, dtype="float64", index=pdf.index)})
+
+
+def spellings(asks: DataFrame, words: DataFrame) -> DataFrame:
+    """``asked, term``: requirements (``asked``) and words (``term``) with at least SPELLING of their characters in common.
+
+    Two texts that alike share a pair of neighbouring letters (or are equal), and their
+    lengths differ by little, so both are the join's key and no pair is missed.
+    """
+    low, high = SPELLING / (2 - SPELLING), (2 - SPELLING) / SPELLING
+    pairs_of = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda k: F.substring(c, k, F.lit(2))))
+    x = asks.select(F.col("term").alias("asked"), F.array_join(F.array_sort(F.split("term", r"\s+")), " ").alias("x")).where(F.length("x") > 1).distinct()
+    y = words.select(F.col("term").alias("y")).distinct().where(F.length("y") > 1).withColumn("n", F.length("y"))
+    # Only lengths that words have: requirements may be whole sentences.
+    lengths = y.select("n").distinct()
+    x = x.join(F.broadcast(lengths), F.col("n").between(F.length("x") * low - 1e-9, F.length("x") * high + 1e-9))
+    x, y = (t.withColumn("pair", F.explode(pairs_of(F.col(c)))) for t, c in ((x, "x"), (y, "y")))
+    # As many letters as may be put in or left out bound the edits.
+    near = x.join(y, ["pair", "n"]).where(F.levenshtein("x", "y") <= (1 - SPELLING) * (F.length("x") + F.length("y")) + 1e-9).select("asked", "x", "y").distinct()
+    return near.mapInPandas(_common, "asked string, term string, share double").where(F.col("share") >= SPELLING - 1e-9).select("asked", "term")
+
+
+def covered_terms(wanted: DataFrame, offered: DataFrame, aliases: DataFrame, cv: str) -> DataFrame:
+    """``cv, term, tier`` of every wanted term that a CV covers: ``exact`` (the term or one of its words), ``alias`` or ``fuzzy`` (another spelling).
+
+    What a CV covers of a term doesn't depend on the offer, so terms are
+    compared once for all offers. Terms not covered have no row.
+    """
+    asks = wanted.select("term").distinct()
+    parts = asks.select(F.col("term").alias("asked"), F.explode(F.array_distinct(F.concat(F.array("term"), F.split("term", r"\s+")))).alias("term"))
+    hits = lambda a, b, tier: a.join(b, "term").select(cv, F.col("asked").alias("term"), F.lit(tier).alias("tier"))
+    known = canonical(offered, aliases)
+    found = hits(parts, offered, 0).unionByName(hits(canonical(parts, aliases), known, 1))
+    both = offered.unionByName(known).distinct()
+    found = found.unionByName(hits(spellings(asks, both), both, 2))
+    best = found.groupBy(cv, "term").agg(F.min("tier").alias("tier"))
+    return best.select(cv, "term", F.element_at(F.array(F.lit("exact"), F.lit("alias"), F.lit("fuzzy")), F.col("tier") + 1).alias("tier"))
+
+
+def all_scores(wanted: DataFrame, found: DataFrame, offers: DataFrame, cvs: DataFrame, offer: str, cv: str) -> DataFrame:
+    """``cv, offer, score, missing_must`` of all offers and CVs with a covered term; the others' score is 0.
+
+    ``offers`` and ``cvs`` tell a ``level`` (null: unknown); known levels that
+    differ take a tenth off.
+    """
+    total = wanted.groupBy(offer).agg(F.sum((F.col("kind") == "must").cast("int")).alias("musts"), F.sum((F.col("kind") == "nice").cast("int")).alias("nices"))
+    got = wanted.join(found, "term").groupBy(cv, offer).agg(F.sum((F.col("kind") == "must").cast("int")).alias("must"), F.sum((F.col("kind") == "nice").cast("int")).alias("nice"))
+    rows = got.join(total, offer).join(offers.select(offer, F.col("level").alias("o")), offer).join(cvs.select(cv, F.col("level").alias("c")), cv)
+    share = lambda n, of: F.when(F.col(of) > 0, F.col(n) / F.col(of)).otherwise(0.0)
+    fit = F.when(F.col("o") != F.col("c"), 0.9).otherwise(1.0)
+    return rows.select(cv, offer, F.round(100 * (0.75 * share("must", "musts") + 0.25 * share("nice", "nices")) * fit, 2).alias("score"), (F.col("musts") - F.col("must")).alias("missing_must"))

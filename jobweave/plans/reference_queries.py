@@ -366,6 +366,29 @@ def a06_match_score(spark, d):
     return match.score(_covered(spark, d), "doc_id", "cv")
 
 
+def _all_covered(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "kind", "text").where("text is not null")
+    offers, cvs = docs.where("kind = 'offer'"), docs.where("kind = 'resume'").withColumnRenamed("doc_id", "cv")
+    aliases = match.synonyms(spark)
+    wanted = match.requirements(offers, "doc_id", "text")
+    offered = match.terms_of(cvs, "cv", "text").unionByName(match.phrases_of(cvs, "cv", "text", aliases)).distinct()
+    return offers, cvs, wanted, match.covered_terms(wanted, offered, aliases, "cv")
+
+
+@query()
+def j01_all_terms(spark, d):
+    """What each CV covers of the terms of all offers; with x10_offer_requirements, the coverage of any offer by any CV."""
+    return _all_covered(spark, d)[3]
+
+
+@query()
+def a06_all_scores(spark, d):
+    """All offers against all CVs, but for pairs without a covered term."""
+    offers, cvs, wanted, found = _all_covered(spark, d)
+    level = match.level_rank(F.col("text")).alias("level")
+    return match.all_scores(wanted, found, offers.select("doc_id", level), cvs.select("cv", level), "doc_id", "cv")
+
+
 @query(f"""SELECT posting_id, coalesce(CASE regexp_extract(lower(strip_accents(title)), '\\b(junior|senior|lead|principal|stagiaire|stage|confirme)\\b', 1) WHEN 'stagiaire' THEN 0 WHEN 'stage' THEN 0
 WHEN 'junior' THEN 1 WHEN 'confirme' THEN 2 WHEN 'senior' THEN 3 WHEN 'lead' THEN 4 WHEN 'principal' THEN 5 END, -1) AS level_rank FROM {_LATEST}""")
 def x12_level_rank(spark, d):

@@ -3,6 +3,7 @@ import datetime
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from jobweave.operators import market, match, texts
 from jobweave.sources import providers, sinks
@@ -77,6 +78,22 @@ def test_requirements_and_score(spark):
     assert got == {7: (62.5, 2), 8: (0.0, 4)}
 
 
+def test_all_offers_and_cvs(spark):
+    offers = spark.createDataFrame([(1, "Senior dev\nRequirements:\n- K8s, Python\n- Kafka clusters\n- PostgreSQL\nNice to have\nml"), (50, "Requirements:\nJavascript\nRust")], "offer bigint, text string")
+    cvs = spark.createDataFrame([(7, "Junior. Kubernetes, kafka, postgressql, machine learning"), (90, "JS"), (91, "Cobol")], "cv bigint, text string")
+    aliases = match.synonyms(spark)
+    wanted = match.requirements(offers, "offer", "text")
+    offered = match.terms_of(cvs, "cv", "text").unionByName(match.phrases_of(cvs, "cv", "text", aliases))
+    found = match.covered_terms(wanted, offered, aliases, "cv")
+    assert {tuple(r) for r in found.collect()} == {
+        (7, "k8s", "alias"), (7, "kafka clusters", "exact"), (7, "postgresql", "fuzzy"), (7, "ml", "alias"), (90, "javascript", "alias"),
+    }
+    level = match.level_rank(F.col("text")).alias("level")
+    scores = match.all_scores(wanted, found, offers.select("offer", level), cvs.select("cv", level), "offer", "cv")
+    # Three of four required and the wished one, less a tenth: no neighbours' ids needed.
+    assert {tuple(r) for r in scores.collect()} == {(7, 1, 73.13, 1), (90, 50, 37.5, 1)}
+
+
 def test_sinks(spark, tmp_path):
     log = str(tmp_path / "log")
     rows = lambda *r: spark.createDataFrame(r, "id int, stage string")
