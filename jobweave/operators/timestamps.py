@@ -2,20 +2,26 @@
 
 Every value is read in all ways that are valid for it (unit of an epoch,
 order of day and month, zone written or assumed); a reading carries a cost for
-departing from what its source declares. The readings of the records of one
-answer form a chain in record order; the cheapest path through it is chosen,
-where a change of format and a jump back in time cost extra. Declared
-conventions outweigh both, so the chain only decides what they leave open.
-
-All of it is column arithmetic inside the JVM. A chain is one row, so the
-operator needs no shuffle. Nothing depends on the session time zone.
+departing from what its source declares. A source's records, in the order they
+were fetched, form a chain; the cheapest path through it is chosen, where a
+change of format and a jump back in time cost extra. Declared conventions
+outweigh both, so the chain decides what they leave open: the order of day and
+month where a source declares none.
+
+An answer's records are one row. A first pass finds the cheapest path through
+each answer and the state it ends in; then each answer with an open record goes
+through a second pass that starts from the end of the source's answer before
+it. The window that hands ends on holds readings only, and is cut by source and
+day of fetching, so no task sees all records of a source.
+
+All of it is column arithmetic inside the JVM. Nothing depends on the session time zone.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave.session import epoch_seconds
@@ -58,7 +64,8 @@ class Convention:
 
     field: str
     zone: str = "UTC"
-    day_first: bool = False
+    #: Whether the day stands before the month; None leaves both orders open.
+    day_first: bool | None = None
 
 
 #: The time field and the conventions of each source.
@@ -66,7 +73,7 @@ CONVENTIONS = {
     "france_travail": Convention("dateCreation", "Europe/Paris", True),
     "lever": Convention("createdAt"),
     "remoteok": Convention("epoch"),
-    "jsearch": Convention("job_posted_at_datetime_utc"),
+    "jsearch": Convention("job_posted_at_datetime_utc", day_first=False),
 }
 
 _READING = "array<struct<format:string,sec:bigint,cost:double>>"
@@ -132,7 +139,8 @@ def readings(value: Column, fetched: Column, zone: Column, day_first: Column) ->
     """All valid readings of ``value`` as ``array<struct<format, sec, cost>>``.
 
     Null, empty, zero and placeholder values give the empty array; so do
-    wordings that denote no instant.
+    wordings that denote no instant. A null ``day_first`` leaves the order of
+    day and month open.
     """
     return let(squeeze(value), lambda v: _readings(v, fetched, zone, day_first))
 
@@ -162,8 +170,8 @@ def _readings(v: Column, fetched: Column, zone: Column, day_first: Column) -> Co
     forms = F.filter(
         F.array(
             civil("iso", get(iso, 1), _int(get(iso, 2)), _int(get(iso, 3)), get(iso, 4), ok),
-            civil("dmy", year, b, a, get(dmy, 4), F.when(day_first, 0.0).otherwise(FAR)),
-            civil("mdy", year, a, b, get(dmy, 4), F.when(~day_first, 0.0).otherwise(FAR)),
+            civil("dmy", year, b, a, get(dmy, 4), F.when(~day_first, FAR).otherwise(0.0)),
+            civil("mdy", year, a, b, get(dmy, 4), F.when(day_first, FAR).otherwise(0.0)),
             civil("day_month", get(words, 3), _month(get(words, 2)), _int(get(words, 1)), get(words, 4), ok),
             civil("month_day", get(turned, 3), _month(get(turned, 1)), _int(get(turned, 2)), get(turned, 4), ok),
         ),
@@ -190,11 +198,15 @@ def _readings(v: Column, fetched: Column, zone: Column, day_first: Column) -> Co
     return F.coalesce(F.transform(valid, late), F.array().cast(_READING))
 
 
-def viterbi(chains: Column) -> Column:
-    """Cheapest reading of each record: array of arrays of readings to ``array<bigint>``.
+_STATE = "struct<format:string,sec:bigint>"
+
+
+def viterbi(chains: Column, before: Column | None = None) -> Column:
+    """Cheapest reading of each record: array of arrays of readings to ``struct<path array<bigint>, end struct<format, sec>>``.
 
-    A record without readings keeps its place as null and is passed over.
-    Ties go to the reading listed first.
+    ``before`` is the state the chain begins in (null: unknown); ``end`` the one
+    it ends in. A record without readings keeps its place as null and is passed
+    over. Ties go to the earlier path, then to the reading listed first.
     """
     state = "array<struct<cost:double,format:string,sec:bigint,path:array<bigint>>>"
 
@@ -215,8 +227,13 @@ def viterbi(chains: Column) -> Column:
         skip = F.transform(acc, lambda p: F.struct(p["cost"], p["format"], p["sec"], F.concat(p["path"], F.array(F.lit(None).cast("bigint"))).alias("path")))
         return F.when(F.size(cands) == 0, skip).otherwise(F.transform(cands, extend)).cast(state)
 
-    start = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("format"), F.lit(None).cast("bigint").alias("sec"), F.array().cast("array<bigint>").alias("path"))).cast(state)
-    cheapest = lambda acc: F.array_min(F.transform(acc, lambda p: F.struct(p["cost"].alias("cost"), p["path"].alias("path"))))["path"]
+    before = F.lit(None).cast(_STATE) if before is None else before
+    start = F.array(F.struct(F.lit(0.0).alias("cost"), before["format"].alias("format"), before["sec"].alias("sec"), F.array().cast("array<bigint>").alias("path"))).cast(state)
+
+    def cheapest(acc: Column) -> Column:
+        best = F.array_min(F.transform(acc, lambda p: F.struct(p["cost"].alias("cost"), p["path"].alias("path"), p["format"].alias("format"), p["sec"].alias("sec"))))
+        return F.struct(best["path"].alias("path"), F.struct(best["format"].alias("format"), best["sec"].alias("sec")).alias("end"))
+
     return F.aggregate(chains, start, step, cheapest)
 
 
@@ -225,16 +242,17 @@ def posting_times(pages: DataFrame) -> DataFrame:
 
     Rows are distinct. Items that are null or no object, absent fields and
     placeholders give no row; an empty table gives an empty result. Extra
-    columns of ``pages`` are not looked at.
+    columns of ``pages`` are not looked at. An answer delivered again counts
+    once in its source's order.
     """
     known = F.col("source").isin(list(CONVENTIONS))
     chains = items(pages.where(known))
-    zone, day_first = F.lit("UTC"), F.lit(False)
+    zone, day_first = F.lit("UTC"), F.lit(None).cast("boolean")
     schema = "struct<" + ",".join(f"{c.field}:string" for c in CONVENTIONS.values()) + ">"
     for source, c in CONVENTIONS.items():
         here = F.col("source") == source
         zone = F.when(here, c.zone).otherwise(zone)
-        day_first = F.when(here, c.day_first).otherwise(day_first)
+        day_first = F.when(here, F.lit(c.day_first).cast("boolean")).otherwise(day_first)
 
     def value(item: Column) -> Column:
         parsed = F.from_json(item, schema)
@@ -249,9 +267,17 @@ def posting_times(pages: DataFrame) -> DataFrame:
         .withColumn("value", F.transform("items", value))
     )
     read = F.transform("value", lambda v: readings(v, F.col("fetched"), F.col("zone"), F.col("day_first")))
-    paths = chains.select("page_id", "source", viterbi(read).alias("path"))
+    alone = chains.select("page_id", "source", "fetched", read.alias("read")).withColumn("best", viterbi(F.col("read")))
+    # Readings are needed again only where one is open; the others' paths are final.
+    open_ = F.exists("read", lambda r: F.size(r) > 1)
+    narrow = alone.select("page_id", "source", "fetched", "best", F.when(open_, F.col("read")).alias("read"), F.floor(F.col("fetched") / 86400).alias("day"))
+    order = Window.partitionBy("source", "day").orderBy("fetched", "page_id")
+    before, page = F.lag("best.end").over(order), F.lag("page_id").over(order)
+    began = narrow.withColumn("handed", F.when(page.isNull() | (page != F.col("page_id")), F.struct(before.alias("end"))))
+    placed = began.withColumn("before", F.last("handed", ignorenulls=True).over(order)["end"])
+    path = F.when(F.col("read").isNotNull() & F.col("before").isNotNull(), viterbi(F.col("read"), F.col("before"))["path"]).otherwise(F.col("best.path"))
     return (
-        paths.select("page_id", "source", F.posexplode("path").alias("item_no", "sec"))
+        placed.select("page_id", "source", F.posexplode(path).alias("item_no", "sec"))
         .where(F.col("sec").isNotNull())
         .select("page_id", "item_no", "source", _iso(F.col("sec")).alias("utc"))
         .distinct()

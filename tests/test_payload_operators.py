@@ -1,5 +1,6 @@
 """Times, pay and nested records, in a session that isn't in UTC."""
 
+import datetime
 import json
 
 import pytest
@@ -115,3 +116,26 @@ def test_nested_values(spark):
     got = sorted(tuple(r)[:2] + tuple(r)[3:] for r in nested_values(df.union(df)).collect())
     assert got == [(0, 0, -1, "805679302"), (1, 1, 0, "a"), (1, 1, 2, "b"), (1, 2, 0, "c"), (2, 0, 2, "v")]
     assert path_triples(df.limit(0), "payload", ["page_id"]).count() == 0
+
+
+def test_transition_costs_decide_an_open_order(spark):
+    """A source without a declared order of day and month: the answer fetched before decides, in either direction."""
+    def page(i, hour, values):
+        return i, "lever", "b", datetime.datetime(2026, 5, 6, hour), json.dumps([{"createdAt": v} for v in values])
+
+    schema = "page_id bigint, source string, board string, fetched_at timestamp_ntz, payload string"
+    for first, month in (("25/03/2026 10:00", "04"), ("03/25/2026 10:00", "05")):
+        later = page(3, 2, ["05/04/2026 10:00", None, "05/04/2026 11:00"])
+        df = spark.createDataFrame([page(9, 1, [first]), later, later], schema)
+        got = sorted((r.page_id, r.item_no, r.utc[5:7]) for r in posting_times(df).collect())
+        assert got == [(3, 0, month), (3, 2, month), (9, 0, "03")]
+
+
+def test_events_of_odd_texts():
+    """Broken JSON gives nothing, whatever comes before the break; nesting has no limit."""
+    for bad in ('{"a":1,}', "[1,2", '{"a" 1}', "{} x", "[,]", '{"a":"\\x"}', "tru", "[1 2]", '{"a":"b\nc"}', '{"a":[1}'):
+        assert stream_triples(bad, frozenset(), frozenset()) == []
+    assert stream_triples('{"a": [1, null, "x\\u00e9"], "b": {"c": true}}', frozenset(), frozenset()) == [("a", [0], "1"), ("a", [2], "xé"), ("b.c", [], "true")]
+    deep = "[" * 20_000 + "7" + "]" * 20_000
+    assert stream_triples(deep, frozenset(), frozenset()) == [("", [0] * 20_000, "7")]
+    assert stream_triples('{"x": {"a": [[', frozenset({"b"}), frozenset()) == []
