@@ -141,8 +141,10 @@ def encode(df: DataFrame, id_column: str = "doc_id", text: str = "text", path: s
     path = path or default_vocabulary()
     rows = df.select(F.col(id_column).alias("id"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     cut = F.coalesce(words(F.col("t")), F.array().cast("array<string>"))
-    known = rows.select("id", "h", _with_ranks(path, lambda rank: F.transform(cut, lambda w: F.struct(w.alias("w"), rank(_bytes(w)).alias("i")))).alias("ws"))
-    rest = known.select("id", "h", F.posexplode("ws").alias("pos", "x")).where(F.col("x.i").isNull()).select("id", "h", "pos", F.col("x.w").alias("w"))
+    # Words without an id of their own keep their place as null; only these words move, with their places.
+    known = rows.select("id", "h", _with_ranks(path, lambda rank: F.transform(cut, lambda w: rank(_bytes(w)))).alias("plain"))
+    strange = _with_ranks(path, lambda rank: F.filter(F.transform(cut, lambda w, k: F.struct(k.alias("pos"), w.alias("w"))), lambda x: rank(_bytes(x["w"])).isNull()))
+    rest = rows.select("id", "h", F.inline(strange))
     # Distinct words are few bytes but much work: a fixed number of partitions keeps them from being merged into one task.
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     coded = rest.select("w").distinct().repartition(n, "w").withColumn("ids", encode_word(F.col("w"), path))
@@ -150,9 +152,10 @@ def encode(df: DataFrame, id_column: str = "doc_id", text: str = "text", path: s
     back = back.select(F.col("id").alias("b_id"), F.col("h").alias("b_h"), "more")
     both = known.join(back, F.col("id").eqNullSafe(F.col("b_id")) & (F.col("h") == F.col("b_h")), "left")
     entry = "array<struct<pos:int,ids:array<int>>>"
-    plain = F.filter(F.transform("ws", lambda x, k: F.struct(k.alias("pos"), F.array(x["i"]).alias("ids"))), lambda e: e["ids"][0].isNotNull()).cast(entry)
-    ordered = F.array_sort(F.concat(plain, F.coalesce(F.col("more").cast(entry), F.array().cast(entry))))
-    return both.select(F.col("id").alias(id_column), F.flatten(F.transform(ordered, lambda e: e["ids"])).alias("ids"))
+    plain = F.filter(F.transform("plain", lambda i, k: F.struct(k.alias("pos"), F.array(i).alias("ids"))), lambda e: e["ids"][0].isNotNull()).cast(entry)
+    ordered = F.flatten(F.transform(F.array_sort(F.concat(plain, F.col("more").cast(entry))), lambda e: e["ids"]))
+    # A text of known words only is done as it is.
+    return both.select(F.col("id").alias(id_column), F.when(F.col("more").isNull(), F.col("plain")).otherwise(ordered).alias("ids"))
 
 
 def decode(ids: Column, path: str | None = None) -> Column:
