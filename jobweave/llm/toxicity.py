@@ -11,19 +11,23 @@ log-likelihoods divided by its length; a document's is that of its worst passage
 A label belongs to a document, most of whose passages are ordinary even where it
 is abusive. So fitting alternates: the abusive model learns from the passages
 of abusive documents that the current models hold for abusive, at first the
-worst one of each in any case. The threshold is set on held-out folds of the sample.
+worst one of each in any case. The threshold is set on held-out folds of the
+sample; the seed passages are held out with it, so a few labels are enough to
+set one, and there is no other rule for small samples.
 
-Scoring is one pass over the corpus without a shuffle.
+The labelled sample is cut into passages by Spark, and the models of the folds
+are fitted by parallel tasks. Scoring is one pass over the corpus without a shuffle.
 """
 
 from __future__ import annotations
 
 import html
 import math
+import pickle
 import re
 import unicodedata
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +38,8 @@ ORDER, DISCOUNT = 3, 0.75
 #: Words of a passage; longer sentences are cut into overlapping passages.
 PASSAGE = 16
 ROUNDS, FOLDS = 3, 4
-#: Threshold where the sample holds too few abusive documents to tune one.
-UNTUNED = 1.4
+#: Trigrams whose scores a task keeps at hand; others are computed again.
+MEMO = 200_000
 
 #: Cyrillic and Greek letters and the Latin letters they are mistaken for.
 _LOOKALIKES = str.maketrans("аеорсухікмнтвԁѕјһԛԝαοερνιτκυАЕОРСУХІКМНТВЅЈΑΟΕΡΝΙΤΚΥΒΗΜΧ", "aeopcyxikmhtbdsjhqwaoepvitkuAEOPCYXIKMHTBSJAOEPNITKYBHMX")
@@ -162,73 +166,128 @@ class Scorer:
         self.threshold = 0.0
         self.memo: dict[tuple[str, ...], float] = {}
 
-    def passage(self, words: tuple[str, ...]) -> float:
-        score = self.memo.get(words)
+    def trigram(self, gram: tuple[str, ...]) -> float:
+        """Difference of the log-probabilities of a trigram's last word."""
+        score = self.memo.get(gram)
         if score is None:
-            score = (self.toxic.loglik(words) - self.ordinary.loglik(words)) / (len(words) + 1)
-            if len(self.memo) < 50_000:
-                self.memo[words] = score
+            score = math.log(self.toxic.prob(gram[:-1], gram[-1]) / self.ordinary.prob(gram[:-1], gram[-1]))
+            if len(self.memo) < MEMO:
+                self.memo[gram] = score
         return score
 
+    def passage(self, words: tuple[str, ...]) -> float:
+        padded = ("<s>",) * (ORDER - 1) + words + ("</s>",)
+        return sum(map(self.trigram, zip(padded, padded[1:], padded[2:]))) / (len(words) + 1)
+
+    def worst(self, found: list[tuple[str, ...]]) -> float | None:
+        """Score of the worst passage; null where there is none. Passages of one or two words are judged with care."""
+        return max((self.passage(w) * min(1.0, (len(w) + 1) / 4) for w in found), default=None)
+
     def text(self, text: str | None) -> float | None:
-        """Score of the worst passage; null for texts without words. Passages of one or two words are judged with care."""
-        scores = [self.passage(w) * min(1.0, (len(w) + 1) / 4) for w in passages(text)]
-        return max(scores) if scores else None
+        return self.worst(passages(text))
 
     def __getstate__(self):
         return {**self.__dict__, "memo": {}}
 
 
-def _train(docs: list[tuple[list[tuple[str, ...]], bool]], seeds: dict[bool, str]) -> Scorer:
-    seed = {k: Counter(p for s in v.split("|") for p in passages(s)) for k, v in seeds.items()}
+#: A labelled document: its passages and whether it is abusive.
+Doc = tuple[list[tuple[str, ...]], bool]
+
+
+def _passages_by_class(docs: list[Doc], seeds: list[Doc]) -> tuple[Counter, Counter]:
+    """Passages that teach the abusive and the ordinary model, with their counts."""
+    seed = {k: Counter(p for ps, bad in seeds if bad == k for p in ps) for k in (True, False)}
     ordinary = Counter(p for ps, bad in docs if not bad for p in ps)
     abusive = [ps for ps, bad in docs if bad and ps]
     # Passages that ordinary documents hold as well teach the abusive model nothing.
     toxic = Counter(p for ps in abusive for p in set(ps) if p not in ordinary)
     scorer = Scorer(toxic + seed[True], ordinary + seed[False])
     for again in range(ROUNDS):
+        if again:
+            scorer = Scorer(*found)
         chosen: Counter = Counter()
         rest: Counter = Counter()
         for ps in abusive:
             ranked = sorted(((scorer.passage(p), p) for p in set(ps)), reverse=True)
             for n, (score, p) in enumerate(ranked):
                 (chosen if score > 0.5 or (n == 0 and not again) else rest)[p] += 1
-        scorer = Scorer(chosen + seed[True], ordinary + rest + seed[False])
-    return scorer
+        found = chosen + seed[True], ordinary + rest + seed[False]
+    return found
+
+
+def seed_documents(seeds: dict[bool, str] = SEEDS) -> list[Doc]:
+    return [(passages(t), bad) for bad, texts in seeds.items() for t in texts.split("|")]
+
+
+def fold_of(doc: Doc) -> int:
+    """The fold a document is held out in; equal texts are held out together."""
+    return zlib.crc32("\n".join(" ".join(p) for p in doc[0]).encode("utf-8", "replace")) % FOLDS
+
+
+def hold_out(docs: list[Doc], seeds: list[Doc], fold: int) -> list[tuple[float, bool, bool]]:
+    """``score, abusive, is a seed`` of a fold's documents and seeds, by models fitted on the other folds."""
+    part = Scorer(*_passages_by_class([d for d in docs if fold_of(d) != fold], [d for d in seeds if fold_of(d) != fold]))
+    return [(s, bad, seed) for group, seed in ((docs, False), (seeds, True)) for ps, bad in group if fold_of((ps, bad)) == fold and (s := part.worst(ps)) is not None]
+
+
+def tune(held: list[tuple[float, bool, bool]]) -> tuple[float, float]:
+    """Threshold of greatest F1 over held-out documents, and that F1.
+
+    The seeds of either class weigh as one labelled document together, so
+    they decide only where there are no labels.
+    """
+    seeds = Counter(bad for _, bad, seed in held if seed)
+    weigh = lambda bad, seed: 1 / seeds[bad] if seed else 1.0
+    held = sorted(held, reverse=True)
+    positives, hit, flagged, best = sum(weigh(bad, seed) for _, bad, seed in held if bad), 0.0, 0.0, (0.0, 0.0)
+    for n, (s, bad, seed) in enumerate(held, 1):
+        hit += weigh(bad, seed) * bad
+        flagged += weigh(bad, seed)
+        f1 = 2 * hit / (flagged + positives)
+        if bad and f1 >= best[0]:
+            below = next((x for x, _, _ in held[n:]), s)
+            best = (f1, (s + max(below, s - 0.5)) / 2)
+    return best[1], best[0]
 
 
 def fit(labelled: list[tuple[str | None, int]], seeds: dict[bool, str] = SEEDS) -> Scorer:
     """Models and threshold from (text, abusive) pairs; without any, from the seed passages alone."""
-    docs = [(passages(t), bool(b)) for t, b in labelled if t]
-    scorer = _train(docs, seeds)
-    folds: dict[int, list] = defaultdict(list)
-    for t, b in labelled:
-        if t:
-            folds[zlib.crc32(t.encode("utf-8", "replace")) % FOLDS].append((t, bool(b)))
-    held = []
-    if sum(b for _, b in docs) >= 5 * FOLDS:
-        for k in folds:
-            part = _train([(passages(t), b) for j in folds if j != k for t, b in folds[j]], seeds)
-            held += [(s, b) for t, b in folds[k] if (s := part.text(t)) is not None]
-    held.sort(reverse=True)
-    positives, hit, best = sum(b for _, b in held), 0, (0.0, 0.0)
-    for n, (s, b) in enumerate(held, 1):
-        hit += b
-        f1 = 2 * hit / (n + positives)
-        if b and f1 >= best[0]:
-            below = next((x for x, _ in held[n:]), s)
-            best = (f1, (s + max(below, s - 0.5)) / 2)
-    scorer.threshold = best[1] if positives else UNTUNED
-    scorer.f1 = best[0]
+    docs, own = [(passages(t), bool(b)) for t, b in labelled if t], seed_documents(seeds)
+    scorer = Scorer(*_passages_by_class(docs, own))
+    scorer.threshold, scorer.f1 = tune([x for k in range(FOLDS) for x in hold_out(docs, own, k)])
     return scorer
 
 
 def fit_tables(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Scorer:
-    """``fit`` on at most ``sample_rows`` labelled documents; null labels are left out."""
+    """``fit`` on at most ``sample_rows`` labelled documents; null labels are left out.
+
+    Tasks cut the sample into passages; then one task sorts the passages of all
+    of it by class, and one for each fold fits models on the other folds. The sample's bound
+    bounds what the driver holds.
+    """
     known = labels.where(F.col("abusive").isNotNull()).groupBy("doc_id").agg(F.max("abusive").alias("abusive"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "abusive").collect()
-    return fit([(r.text, r.abusive) for r in rows])
+
+    def cut(batches):
+        for pdf in batches:
+            yield pdf[["abusive"]].assign(found=[[" ".join(p) for p in passages(t)] for t in pdf["text"]])
+
+    sample = documents.where(F.col("text") != "").select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", F.col("abusive").cast("int").alias("abusive"))
+    docs: list[Doc] = sorted(([tuple(p.split(" ")) for p in r.found], bool(r.abusive)) for r in sample.mapInPandas(cut, "abusive int, found array<string>").collect())
+    seeds = seed_documents()
+
+    def models(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for fold in pdf["id"]:
+                out = [dict(c) for c in _passages_by_class(docs, seeds)] if fold == FOLDS else hold_out(docs, seeds, int(fold))
+                yield pd.DataFrame({"fold": [fold], "made": [zlib.compress(pickle.dumps(out), 1)]})
+
+    made = {r.fold: pickle.loads(zlib.decompress(r.made)) for r in documents.sparkSession.range(0, FOLDS + 1, 1, FOLDS + 1).mapInPandas(models, "fold bigint, made binary").collect()}
+    scorer = Scorer(*map(Counter, made[FOLDS]))
+    scorer.threshold, scorer.f1 = tune([x for k in range(FOLDS) for x in made[k]])
+    return scorer
 
 
 def score(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
