@@ -6,9 +6,10 @@ numbers and street addresses; names are found where a text introduces a person
 shape is checked. Overlaps go to the more telling kind.
 
 Replacement is keyed and deterministic, so equal values stay linked across
-documents without a table of pseudonyms: digits of validated numbers, and dates
-of birth, are permuted within their format by a Feistel network; other values
-become typed placeholders with a keyed tag.
+documents without a table of pseudonyms: numbers and dates of birth are permuted
+within their format by a Feistel network (fields stay in their ranges, check
+digits follow, letters become letters); other values become typed placeholders
+with a keyed tag.
 
 Each text is treated alone, in Arrow batches, with no shuffle.
 """
@@ -208,10 +209,105 @@ def restore_digits(digits: str, key: bytes, tag: str = "") -> str:
     return f"{a:0{u}d}{b:0{n - u}d}"
 
 
-def _within_format(value: str, keep: int, key: bytes, tag: str) -> str:
-    """Digits after the first ``keep`` are permuted; all other characters stay where they are."""
+#: Departments of French social security numbers that aren't plain digits, and the digits that stand for them in the key.
+CORSICA = {"2A": "19", "2B": "18"}
+#: Letters that may lead a national insurance number, second letters, suffixes, and prefixes that are never given out.
+NINO_FIRST, NINO_SECOND, NINO_LAST = "ABCEGHJKLMNOPRSTWXYZ", "ABCEGHJKLMNPRSTWXYZ", "ABCD"
+NINO_NEVER = ("BG", "GB", "KN", "NK", "NT", "TN", "ZZ")
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def permute_below(n: int, size: int, key: bytes, tag: str, back: bool = False) -> int:
+    """Keyed permutation of 0 .. size - 1: digits are permuted until the result lies below ``size`` again (cycle walking)."""
+    width = max(2, len(str(size - 1)))
+    move = restore_digits if back else permute_digits
+    while True:
+        n = int(move(f"{n:0{width}d}", key, tag))
+        if n < size:
+            return n
+
+
+def nir_key(head: str) -> int:
+    """The two check digits of a French social security number's first 13 places."""
+    plain = head
+    for letters, digits in CORSICA.items():
+        plain = plain.replace(letters, digits)
+    return 97 - int(plain) % 97
+
+
+def _permute_nir(chars: str, key: bytes, back: bool) -> str:
+    """Year, month, department with commune, and serial permuted, each among the values it may have; the sex stays.
+
+    The key follows the new number. A key that is off by some amount stays off
+    by it, so a valid number gives a valid one and a number without its key
+    the same 13 places as with it. All fields are permuted together, as one
+    number, so one part shows nothing of another.
+    """
+    months = [f"{m:02d}" for m in (*range(1, 13), *range(20, 60))]
+    places = [f"{d:02d}" for d in range(100)] + list(CORSICA)
+    sizes = (100, len(months), len(places), 1_000_000)
+    parts = (int(chars[1:3]), months.index(chars[3:5]), places.index(chars[5:7]), int(chars[7:13]))
+    n = 0
+    for part, size in zip(parts, sizes):
+        n = n * size + part
+    n = permute_below(n, 100 * len(months) * len(places) * 1_000_000, key, "nir", back)
+    new = []
+    for size in reversed(sizes):
+        n, part = divmod(n, size)
+        new.append(part)
+    serial, place, month, year = new
+    head = f"{chars[0]}{year:02d}{months[month]}{places[place]}{serial:06d}"
+    if len(chars) == 13:
+        return head
+    return f"{head}{(nir_key(head) + int(chars[13:]) - nir_key(chars[:13])) % 100:02d}"
+
+
+def _permute_mixed(chars: str, key: bytes, tag: str, back: bool) -> str:
+    """Letters and digits permuted together, each place keeping its kind."""
+    size, n = 1, 0
+    for c in chars:
+        base, digit = (10, int(c)) if c in "0123456789" else (26, _LETTERS.index(c))
+        n, size = n * base + digit, size * base
+    n, out = permute_below(n, size, key, tag, back), []
+    for c in reversed(chars):
+        n, digit = divmod(n, 10 if c in "0123456789" else 26)
+        out.append(str(digit) if c in "0123456789" else _LETTERS[digit])
+    return "".join(reversed(out))
+
+
+def _permute_nino(chars: str, key: bytes, back: bool) -> str:
+    prefixes = [a + b for a in NINO_FIRST for b in NINO_SECOND if a + b not in NINO_NEVER]
+    size = len(prefixes) * 1_000_000 * len(NINO_LAST)
+    n = (prefixes.index(chars[:2]) * 1_000_000 + int(chars[2:8])) * len(NINO_LAST) + NINO_LAST.index(chars[8])
+    n, last = divmod(permute_below(n, size, key, "nino", back), len(NINO_LAST))
+    return f"{prefixes[n // 1_000_000]}{n % 1_000_000:06d}{NINO_LAST[last]}"
+
+
+def permute_id(value: str, key: bytes, back: bool = False) -> str:
+    """An identity number to another one of its kind, in the same format; ``back`` inverts it.
+
+    A value is read without its spaces and signs and in upper case, so all
+    written forms of a number stay linked. Numbers of French social security
+    and of national insurance keep to what their fields may hold; all others
+    (American numbers, passports, cards) keep letters as letters and digits as digits.
+    """
+    chars = "".join(c for c in value.upper() if c in _LETTERS or c in "0123456789")
+    if len(chars) in (13, 15) and NIR.fullmatch(chars):
+        new = _permute_nir(chars, key, back)
+    elif len(chars) == 9 and NINO.fullmatch(chars) and chars[:2] not in NINO_NEVER and chars[0] in NINO_FIRST and chars[1] in NINO_SECOND:
+        new = _permute_nino(chars, key, back)
+    else:
+        new = _permute_mixed(chars, key, f"id{len(chars)}", back)
+    # Other signs than letters and digits of the Latin alphabet stay where they are.
+    fill = iter(new)
+    return "".join((lambda x: x.lower() if c.islower() else x)(next(fill)) if c.upper() in _LETTERS or c in "0123456789" else c for c in value)
+
+
+def permute_phone(value: str, key: bytes) -> str:
+    """The last eight digits permuted, the same in national and international form; prefix and spacing stay."""
     digits = [c for c in value if c in "0123456789"]
-    new = iter(digits[:keep] + list(permute_digits("".join(digits[keep:]), key, tag)))
+    keep = max(0, len(digits) - 8)
+    new = iter(digits[:keep] + list(permute_digits("".join(digits[keep:]), key, "phone")))
     return "".join(next(new) if c in "0123456789" else c for c in value)
 
 
@@ -237,29 +333,34 @@ def permute_date(value: str, key: bytes) -> str:
 def pseudonym(value: str, kind: str, key: bytes) -> str:
     """What stands for a value: equal values of a kind get equal pseudonyms under one key."""
     if kind == "phone":
-        digits = sum(c in "0123456789" for c in value)
-        return _within_format(value, max(0, digits - 8), key, kind)
+        return permute_phone(value, key)
     if kind == "id_number":
-        return _within_format(value, 0, key, kind)
+        return permute_id(value, key)
     if kind == "birth_date":
         return permute_date(value, key)
     norm = " ".join(value.casefold().split())
     return f"[{kind.upper()}_{hmac.new(key, f'{kind}|{norm}'.encode(), hashlib.sha256).hexdigest()[:8]}]"
 
 
-def redact(text: str | None, key: bytes, whole_cv: bool = True) -> str | None:
-    """The text with its personal data replaced; null stays null."""
+def replaced(text: str | None, key: bytes, whole_cv: bool = True) -> tuple[str | None, list[tuple[str, str, str]]]:
+    """The text with its personal data replaced, and ``kind, value, pseudonym`` of each piece; null stays null."""
     if not text:
-        return text
-    out, at = [], 0
+        return text, []
+    out, found, at = [], [], 0
     for s in locate(text, whole_cv):
-        out += [text[at : s.start], pseudonym(text[s.start : s.end], s.kind, key)]
+        value = text[s.start : s.end]
+        found.append((s.kind, value, pseudonym(value, s.kind, key)))
+        out += [text[at : s.start], found[-1][2]]
         at = s.end
-    return "".join([*out, text[at:]])
+    return "".join([*out, text[at:]]), found
+
+
+def redact(text: str | None, key: bytes, whole_cv: bool = True) -> str | None:
+    return replaced(text, key, whole_cv)[0]
 
 
 def _texts(cv_parse: DataFrame, cv_sections: DataFrame) -> DataFrame:
-    """``cv_id, section_no, text`` of CVs (section 0) and of their sections; repeated rows once."""
+    """``cv_id, section_no, text`` of CVs (section 0) and of their sections."""
     return (
         cv_parse.select("cv_id", F.lit(0).alias("section_no"), F.col("raw_text").alias("text"))
         .unionByName(cv_sections.select("cv_id", F.col("section_no").cast("int").alias("section_no"), "text"))
@@ -267,34 +368,35 @@ def _texts(cv_parse: DataFrame, cv_sections: DataFrame) -> DataFrame:
     )
 
 
-def find_personal_data(cv_parse: DataFrame, cv_sections: DataFrame) -> DataFrame:
-    """``cv_id, section_no, kind, value``: every distinct piece of personal data.
+def replace_personal_data(cv_parse: DataFrame, cv_sections: DataFrame, key: str) -> DataFrame:
+    """``cv_id, section_no, text, found array<struct<kind, value, pseudonym>>``: each text once read, replaced under ``key``.
 
-    Null and empty texts have none. Repeated rows count once. Extra columns are
-    not looked at.
+    Null and empty texts are left out. Rows repeat as they do in the tables;
+    extra columns are not looked at.
     """
+    secret = key.encode()
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            rows = {
-                (cv, no, s.kind, text[s.start : s.end])
-                for cv, no, text in pdf.itertuples(index=False, name=None)
-                for s in locate(text, no == 0)
-                if s.kind in KINDS
-            }
-            yield pd.DataFrame(sorted(rows, key=str), columns=["cv_id", "section_no", "kind", "value"])
+            done = [replaced(t, secret, no == 0) for no, t in zip(pdf["section_no"], pdf["text"])]
+            found = [[{"kind": k, "value": v, "pseudonym": p} for k, v, p in f] for _, f in done]
+            yield pd.DataFrame({"cv_id": pdf["cv_id"], "section_no": pdf["section_no"], "text": [t for t, _ in done], "found": found})
 
-    return _texts(cv_parse, cv_sections).mapInPandas(run, "cv_id bigint, section_no int, kind string, value string").distinct()
+    schema = "cv_id bigint, section_no int, text string, found array<struct<kind:string,value:string,pseudonym:string>>"
+    return _texts(cv_parse, cv_sections).mapInPandas(run, schema)
 
 
-def redact_texts(cv_parse: DataFrame, cv_sections: DataFrame, key: str) -> DataFrame:
-    """``cv_id, section_no, text``: texts with personal data replaced under ``key``."""
-    secret = key.encode()
+def find_personal_data(cv_parse: DataFrame, cv_sections: DataFrame, key: str = "") -> DataFrame:
+    """``cv_id, section_no, kind, value, pseudonym``: every distinct piece of personal data and what stands for it under ``key``.
 
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(text=[redact(t, secret, no == 0) for no, t in zip(pdf["section_no"], pdf["text"])])
+    Repeated rows count once. Dates of birth are replaced, but are no kind of their own.
+    """
+    pieces = replace_personal_data(cv_parse, cv_sections, key).select("cv_id", "section_no", F.inline("found"))
+    return pieces.where(F.col("kind").isin(*KINDS)).distinct()
 
-    return _texts(cv_parse, cv_sections).mapInPandas(run, "cv_id bigint, section_no int, text string")
+
+def redact_texts(cv_parse: DataFrame, cv_sections: DataFrame, key: str) -> DataFrame:
+    """``cv_id, section_no, text``: distinct texts with personal data replaced under ``key``."""
+    return replace_personal_data(cv_parse, cv_sections, key).select("cv_id", "section_no", "text").distinct()

@@ -21,8 +21,22 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return p1_found(spark, d).groupBy("name").agg(F.count("*").alias("headings"))
 
 
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The headings that mean no entry of the catalogue, each wording with its number of sections."""
+    sections = table(spark, d, "cv_sections", "cv_id", "section_no", "raw_heading").distinct()
+    lost = p1_found(spark, d).where(F.col("name") == headings.UNMATCHED).select("cv_id", "section_no")
+    return sections.join(lost, ["cv_id", "section_no"]).where(F.col("raw_heading").isNotNull()).groupBy("raw_heading").agg(F.count("*").alias("sections"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return privacy.find_personal_data(table(spark, d, "cv_parse"), table(spark, d, "cv_sections"))
+    """Pieces of personal data, from the same pass that replaces them; a pseudonym depends on its value alone, so rows stay distinct."""
+    return privacy.find_personal_data(table(spark, d, "cv_parse"), table(spark, d, "cv_sections"), DEMO_KEY).select("cv_id", "section_no", "kind", "value")
+
+
+def p3_linked(spark: SparkSession, d: str) -> DataFrame:
+    """For each pseudonym, in how many texts it stands: equal values stay linked across CVs."""
+    found = privacy.find_personal_data(table(spark, d, "cv_parse"), table(spark, d, "cv_sections"), DEMO_KEY)
+    return found.groupBy("kind", "pseudonym").agg(F.countDistinct("cv_id", "section_no").alias("texts"))
 
 
 def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +91,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_report, p3_found, p3_redacted, p5_found, p6_found, p6_confidence, p8_ids, p8_decoded, p9_found, p9_clean, p10_found, p10_scores, p10_rates,
+        p1_found, p1_report, p1_unmatched, p3_found, p3_linked, p3_redacted, p5_found, p6_found, p6_confidence, p8_ids, p8_decoded, p9_found, p9_clean, p10_found, p10_scores, p10_rates,
     )
 }
 
