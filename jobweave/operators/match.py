@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobweave.operators.texts import lines
+from jobweave.operators.texts import TOKEN, lines
+from jobweave.session import broadcast_if_small
 from jobweave.text import fold
 
 #: Headings of an offer's blocks, folded, without a final colon.
@@ -17,7 +18,7 @@ OTHER = (
 )
 #: Ranks of levels.
 LEVELS = {"stagiaire": 0, "stage": 0, "junior": 1, "confirme": 2, "senior": 3, "lead": 4, "principal": 5}
-#: Other names of skills, by canonical name (from the reference's skill_synonyms.yaml).
+#: Other names of skills, by canonical name.
 SYNONYMS = {
     "kubernetes": "k8s",
     "docker": "docker-compose|dockercompose",
@@ -56,6 +57,10 @@ SYNONYMS = {
     "nlp": "natural language processing|traitement du langage naturel|traitement automatique du langage|tal",
     "pandas": "pandas python",
 }
+#: Most rows of a table of names that is broadcast.
+DIMENSION_ROWS = 10_000
+#: Most CVs of a stated set of queries that travel to the offers; more of them are shuffled to them.
+STATED_ROWS = 100_000
 #: Share of characters that a requirement and a CV's word must have in common, in order, to count as spellings of one term.
 SPELLING = 0.85
 TERM_LINK = r"\s*(?:,|;|/|\bet\b|\band\b|\bou\b|\bor\b)\s*"
@@ -87,21 +92,43 @@ def terms_of(cvs: DataFrame, key: str, text: str) -> DataFrame:
 
 def canonical(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
     """Terms with aliases replaced by their canonical form; unknown ones stay."""
-    return terms.join(F.broadcast(synonyms.select(F.col("alias").alias("term"), "canonical")), "term", "left").withColumn("term", F.coalesce("canonical", "term")).drop("canonical").distinct()
+    names = broadcast_if_small(synonyms.select(F.col("alias").alias("term"), "canonical"), DIMENSION_ROWS)
+    return terms.join(names, "term", "left").withColumn("term", F.coalesce("canonical", "term")).drop("canonical").distinct()
 
 
-def coverage(pairs: DataFrame, wanted: DataFrame, offered: DataFrame, offer: str, cv: str) -> DataFrame:
-    """``cv, offer, kind, term, covered`` for given pairs: a term is covered when the CV holds it, or one of its words."""
-    asked = pairs.join(wanted, offer)
-    parts = asked.select(cv, offer, "kind", F.col("term").alias("asked"), F.explode(F.array_distinct(F.concat(F.array("term"), F.split("term", r"\s+")))).alias("term"))
-    hit = parts.join(offered.withColumn("hit", F.lit(1)), [cv, "term"], "left")
-    return hit.groupBy(cv, offer, "kind", F.col("asked").alias("term")).agg((F.max("hit") == 1).alias("c")).select(cv, offer, "kind", "term", F.coalesce("c", F.lit(False)).alias("covered"))
+def expanded(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """``terms`` with ``name``: each term's canonical form and all names of it; a term without names stands for itself."""
+    names = synonyms.select("canonical", F.col("alias").alias("name")).unionByName(synonyms.select("canonical", F.col("canonical").alias("name"))).distinct()
+    names = broadcast_if_small(names, DIMENSION_ROWS)
+    own = terms.join(broadcast_if_small(synonyms.select(F.col("alias").alias("term"), "canonical"), DIMENSION_ROWS), "term", "left")
+    whole = own.withColumn("canonical", F.coalesce("canonical", "term"))
+    return whole.join(names, "canonical", "left").withColumn("name", F.coalesce("name", "term")).drop("canonical").distinct()
 
 
-def score(covered: DataFrame, offer: str, cv: str) -> DataFrame:
-    """``100 (0.75 must + 0.25 nice)``; a kind without terms counts 0."""
-    share = lambda kind: F.coalesce(F.avg(F.when(F.col("kind") == kind, F.col("covered").cast("double"))), F.lit(0.0))
-    return covered.groupBy(cv, offer).agg(F.round(100 * (0.75 * share("must") + 0.25 * share("nice")), 2).alias("score"), F.sum((~F.col("covered") & (F.col("kind") == "must")).cast("int")).alias("missing_must"))
+def keyword_gaps(wanted: DataFrame, found: DataFrame, offers: DataFrame, cvs: DataFrame, offer: str, cv: str, text: str, most: int = 5) -> DataFrame:
+    """``cv, offer, term, kind, n, salience, status, rank_no``: the ``most`` terms of each offer that a CV doesn't cover.
+
+    Required terms come before wished ones, then those the offer says most
+    often, then by salience. ``status`` is "addable" where the CV's text holds
+    the term as words, else "missing". ``cvs`` is a stated set of queries: all
+    offers meet each of them.
+    """
+    from jobweave.operators.offers import frequency
+
+    rated = wanted.join(offers.select(offer, F.col(text).alias("__offer")), offer).withColumn("n", frequency(F.col("term"), F.col("__offer"))).drop("__offer")
+    total = offers.select(offer, F.size(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)).alias("total"))
+    tf, idf = F.col("n") / F.greatest("total", F.lit(1)), F.log((F.col("total") + 1) / (F.col("n") + 1)) + 1
+    rated = rated.join(total, offer).withColumn("salience", F.round(F.least(F.lit(1.0), tf * idf * 10), 6)).drop("total")
+    # A CV that holds a term holds its first word: that is the key, and the whole term is verified.
+    word = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}+#]+"), 0)
+    asked = rated.select("term").distinct().select("term", F.try_element_at(word("term"), F.lit(1)).alias("__word"))
+    said = cvs.select(cv, F.explode(F.array_distinct(word(text))).alias("__word"))
+    held = asked.join(said, "__word").join(cvs.select(cv, F.col(text).alias("__cv")), cv).where(frequency(F.col("term"), F.col("__cv")) > 0)
+    stated = broadcast_if_small(cvs.select(cv).distinct(), STATED_ROWS)
+    pairs = rated.crossJoin(stated).join(found.select(cv, "term"), [cv, "term"], "left_anti").join(held.select(cv, "term", F.lit(True).alias("held")), [cv, "term"], "left")
+    order = Window.partitionBy(cv, offer).orderBy("kind", F.desc("n"), F.desc("salience"), "term")
+    status = F.when(F.coalesce("held", F.lit(False)), "addable").otherwise("missing")
+    return pairs.withColumn("rank_no", F.row_number().over(order)).where(F.col("rank_no") <= most).select(cv, offer, "term", "kind", "n", "salience", status.alias("status"), "rank_no")
 
 
 def level_rank(text: Column) -> Column:
@@ -111,7 +138,7 @@ def level_rank(text: Column) -> Column:
 
 
 def synonyms(spark: SparkSession) -> DataFrame:
-    """``alias, canonical`` of SYNONYMS."""
+    """``alias, canonical`` of SYNONYMS; an alias of two names stands for the first."""
     return spark.createDataFrame([(a, k) for k, names in SYNONYMS.items() for a in names.split("|")], "alias string, canonical string")
 
 
@@ -126,20 +153,59 @@ def phrases_of(cvs: DataFrame, key: str, text: str, aliases: DataFrame) -> DataF
     return cvs.select(key, F.explode(F.filter(F.lit(names), lambda n: padded.contains(F.concat(F.lit(" "), n, F.lit(" "))))).alias("term")).distinct()
 
 
+def common_length(x: str, y: str) -> int:
+    """Length of the longest common subsequence, a bit for each character of ``x``."""
+    places: dict[str, int] = {}
+    for k, c in enumerate(x):
+        places[c] = places.get(c, 0) | 1 << k
+    whole = (1 << len(x)) - 1
+    row = whole
+    for c in y:
+        both = row & places.get(c, 0)
+        row = (row + both | row - both) & whole
+    return len(x) - row.bit_count()
+
+
+def token_set_share(x: str, y: str) -> float:
+    """How alike two texts are as sets of words, 0 to 100: 100 where one has all words of the other.
+
+    Else the best of: what only one of them has, compared by its characters
+    in order and set against all of both texts; the shared words against either text.
+    """
+    a, b = set(x.split()), set(y.split())
+    if not a or not b:
+        return 0.0
+    both = a & b
+    if both and (both == a or both == b):
+        return 100.0
+    shared, p, q = len(" ".join(both)), " ".join(sorted(a - b)), " ".join(sorted(b - a))
+    gap = 1 if both else 0
+    one, two = shared + gap + len(p), shared + gap + len(q)
+    apart = len(p) + len(q) - 2 * common_length(p, q)
+    best = 100 * (1 - apart / (one + two))
+    if both:
+        best = max(best, *(100 * (1 - (gap + len(d)) / (shared + n)) for d, n in ((p, one), (q, two))))
+    return best
+
+
+def token_set_ratio(x: Column, y: Column) -> Column:
+    """``token_set_share`` of two text columns, in Arrow batches; null where a text is null."""
+    import pandas as pd
+
+    def ratio(a, b):
+        return pd.Series([None if p is None or q is None else token_set_share(p, q) for p, q in zip(a, b)], dtype="float64")
+
+    # Annotations of this module are texts, which pandas_udf doesn't read.
+    ratio.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    return F.pandas_udf(ratio, "double")(x, y)
+
+
 def _common(pairs):
     """Twice the longest common subsequence over both lengths, of ``x`` and ``y``."""
     import pandas as pd
 
-    def lcs(x: str, y: str) -> int:
-        row = [0] * (len(y) + 1)
-        for a in x:
-            last = 0
-            for k, b in enumerate(y, 1):
-                last, row[k] = row[k], last + 1 if a == b else max(row[k], row[k - 1])
-        return row[-1]
-
     for pdf in pairs:
-        share = [2 * lcs(x, y) / (len(x) + len(y)) for x, y in zip(pdf["x"], pdf["y"])]
+        share = [2 * common_length(x, y) / (len(x) + len(y)) for x, y in zip(pdf["x"], pdf["y"])]
         yield pd.DataFrame({"asked": pdf["asked"], "term": pdf["y"], "share": pd.Series(share, dtype="float64", index=pdf.index)})
 
 
@@ -155,14 +221,14 @@ def spellings(asks: DataFrame, words: DataFrame) -> DataFrame:
     y = words.select(F.col("term").alias("y")).distinct().where(F.length("y") > 1).withColumn("n", F.length("y"))
     # Only lengths that words have: requirements may be whole sentences.
     lengths = y.select("n").distinct()
-    x = x.join(F.broadcast(lengths), F.col("n").between(F.length("x") * low - 1e-9, F.length("x") * high + 1e-9))
+    x = x.join(broadcast_if_small(lengths, DIMENSION_ROWS), F.col("n").between(F.length("x") * low - 1e-9, F.length("x") * high + 1e-9))
     x, y = (t.withColumn("pair", F.explode(pairs_of(F.col(c)))) for t, c in ((x, "x"), (y, "y")))
     # As many letters as may be put in or left out bound the edits.
     near = x.join(y, ["pair", "n"]).where(F.levenshtein("x", "y") <= (1 - SPELLING) * (F.length("x") + F.length("y")) + 1e-9).select("asked", "x", "y").distinct()
     return near.mapInPandas(_common, "asked string, term string, share double").where(F.col("share") >= SPELLING - 1e-9).select("asked", "term")
 
 
-def covered_terms(wanted: DataFrame, offered: DataFrame, aliases: DataFrame, cv: str) -> DataFrame:
+def covered_terms(wanted: DataFrame, offered: DataFrame, aliases: DataFrame, cv: str, fuzzy: bool = True) -> DataFrame:
     """``cv, term, tier`` of every wanted term that a CV covers: ``exact`` (the term or one of its words), ``alias`` or ``fuzzy`` (another spelling).
 
     What a CV covers of a term doesn't depend on the offer, so terms are
@@ -173,8 +239,9 @@ def covered_terms(wanted: DataFrame, offered: DataFrame, aliases: DataFrame, cv:
     hits = lambda a, b, tier: a.join(b, "term").select(cv, F.col("asked").alias("term"), F.lit(tier).alias("tier"))
     known = canonical(offered, aliases)
     found = hits(parts, offered, 0).unionByName(hits(canonical(parts, aliases), known, 1))
-    both = offered.unionByName(known).distinct()
-    found = found.unionByName(hits(spellings(asks, both), both, 2))
+    if fuzzy:
+        both = offered.unionByName(known).distinct()
+        found = found.unionByName(hits(spellings(asks, both), both, 2))
     best = found.groupBy(cv, "term").agg(F.min("tier").alias("tier"))
     return best.select(cv, "term", F.element_at(F.array(F.lit("exact"), F.lit("alias"), F.lit("fuzzy")), F.col("tier") + 1).alias("tier"))
 
@@ -191,3 +258,14 @@ def all_scores(wanted: DataFrame, found: DataFrame, offers: DataFrame, cvs: Data
     share = lambda n, of: F.when(F.col(of) > 0, F.col(n) / F.col(of)).otherwise(0.0)
     fit = F.when(F.col("o") != F.col("c"), 0.9).otherwise(1.0)
     return rows.select(cv, offer, F.round(100 * (0.75 * share("must", "musts") + 0.25 * share("nice", "nices")) * fit, 2).alias("score"), (F.col("musts") - F.col("must")).alias("missing_must"))
+
+
+def level_fit(offers: DataFrame, cvs: DataFrame, offer: str, cv: str) -> DataFrame:
+    """``offer, cv, fit``: whether a CV's level is under, over or equal to an offer's; "unknown" where either isn't told.
+
+    ``cvs`` is a stated set of queries, which all offers meet.
+    """
+    stated = broadcast_if_small(cvs.select(cv, F.col("level").alias("c")), STATED_ROWS)
+    o, c = F.col("level"), F.col("c")
+    fit = F.when(o.isNull() | c.isNull(), "unknown").when(o == c, "match").when(c < o, "under").otherwise("over")
+    return offers.select(offer, "level").crossJoin(stated).select(offer, cv, fit.alias("fit"))

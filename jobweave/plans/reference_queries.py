@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.operators import market, match, resume, texts
-from jobweave.session import table
-from jobweave.sources import providers
+from jobweave.session import shared_folder, table
+from jobweave.sources import sinks
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -25,8 +27,14 @@ def query(sql: str | None = None):
     return put
 
 
-def _postings(spark: SparkSession, d: str) -> DataFrame:
-    return market.latest(table(spark, d, "job_postings"), "posting_id", "ingested_at")
+def _postings(spark: SparkSession, d: str, *columns) -> DataFrame:
+    """The latest row of each posting, with the columns asked for only; derived ones are made before the shuffle."""
+    rows = table(spark, d, "job_postings").select("posting_id", "ingested_at", *columns)
+    return market.latest(rows, "posting_id", "ingested_at", *(c for c in rows.columns if c != "ingested_at"))
+
+
+def _all(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "job_postings")
 
 
 _NOISE = ", ".join(f"'{w}'" for w in market.NOISE)
@@ -58,41 +66,40 @@ kept AS (SELECT posting_id FROM r QUALIFY row_number() OVER (PARTITION BY k, anc
 
 @query(f"SELECT posting_id, {_KEY} AS block_key FROM {_LATEST}")
 def x06_blocking_key(spark, d):
-    return _postings(spark, d).select("posting_id", market.blocking_key(F.col("company"), F.col("location"), F.col("title")).alias("block_key"))
+    return _postings(spark, d, market.blocking_key(F.col("company"), F.col("location"), F.col("title")).alias("block_key"))
 
 
 @query(f"{_KEPT} SELECT posting_id FROM kept")
 def a04_dedupe(spark, d):
-    return market.dedupe(_postings(spark, d)).select("posting_id")
+    return market.kept(_postings(spark, d, *market.dedupe_columns(_all(spark, d))), "posting_id")
 
 
 @query(f"""{_KEPT} SELECT posting_id, title, date_posted FROM {_LATEST} JOIN kept USING (posting_id)
 WHERE contains(lower(concat_ws(' ', title, description)), 'data') OR contains(lower(concat_ws(' ', title, description)), 'python')""")
 def u03_market_search(spark, d):
-    return market.search(_postings(spark, d), "data python").select("posting_id", "title", "date_posted")
+    return market.search(_all(spark, d), "data python", order="ingested_at")
 
 
 @query(f"SELECT posting_id, {_FULL} AS fields FROM {_LATEST}")
 def a05_completeness(spark, d):
-    p = _postings(spark, d)
-    return p.select("posting_id", market.completeness(p).alias("fields"))
+    return _postings(spark, d, market.completeness(_all(spark, d)).alias("fields"))
 
 
 @query("SELECT posting_id, max(ingested_at) AS ingested_at FROM job_postings GROUP BY posting_id")
 def k01_upsert_latest(spark, d):
-    return _postings(spark, d).select("posting_id", "ingested_at")
+    return market.latest(_all(spark, d), "posting_id", "ingested_at", "ingested_at")
 
 
 @query(f"SELECT posting_id FROM {_LATEST} WHERE contains(lower(concat_ws(' ', title, description)), 'senior') OR contains(lower(concat_ws(' ', title, description)), 'kotlin')")
 def f01_keyword_filter(spark, d):
-    return _postings(spark, d).where(market.matches_any(["senior", "Kotlin"], "title", "description")).select("posting_id")
+    return _postings(spark, d, market.matches_any(["senior", "Kotlin"], "title", "description").alias("hit")).where("hit").select("posting_id")
 
 
 @query(f"""SELECT a.posting_id AS id_a, b.posting_id AS id_b FROM (SELECT posting_id, {_KEY} AS k, {_DATE} AS dt FROM {_LATEST}) a
 JOIN (SELECT posting_id, {_KEY} AS k, {_DATE} AS dt FROM {_LATEST}) b ON a.k = b.k AND a.posting_id < b.posting_id
 WHERE coalesce(abs(date_diff('day', a.dt, b.dt)) <= 14, true)""")
 def j08_band_join(spark, d):
-    p = _postings(spark, d).select("posting_id", market.blocking_key(F.col("company"), F.col("location"), F.col("title")).alias("k"), market.iso_date(F.col("date_posted")).alias("dt"))
+    p = _postings(spark, d, market.blocking_key(F.col("company"), F.col("location"), F.col("title")).alias("k"), market.iso_date(F.col("date_posted")).alias("dt"))
     a, b = p.select(F.col("posting_id").alias("id_a"), "k", F.col("dt").alias("dt_a")), p.select(F.col("posting_id").alias("id_b"), "k", F.col("dt").alias("dt_b"))
     return a.join(b, "k").where((F.col("id_a") < F.col("id_b")) & market.within_band(F.col("dt_a"), F.col("dt_b"))).select("id_a", "id_b")
 
@@ -100,19 +107,35 @@ def j08_band_join(spark, d):
 @query(f"""SELECT posting_id, source, rank_no FROM (SELECT posting_id, source, row_number() OVER (PARTITION BY source ORDER BY date_posted DESC NULLS LAST, posting_id)
 AS rank_no FROM {_LATEST}) WHERE rank_no <= 5""")
 def t7_first_per_source(spark, d):
-    top = market.first_per_group(_postings(spark, d), ["source"], [F.col("date_posted").desc_nulls_last(), F.col("posting_id")], 5)
+    top = market.first_per_group(_postings(spark, d, "source", "date_posted"), ["source"], [F.col("date_posted").desc_nulls_last(), F.col("posting_id")], 5)
     return top.select("posting_id", "source", "rank_no")
 
 
-@query(f"""SELECT company, count(*) AS postings, count(DISTINCT location) AS places, round(avg(remote::INT), 3) AS remote_share,
-min(date_posted) AS first_date, max(date_posted) AS last_date FROM {_LATEST} WHERE company IS NOT NULL GROUP BY company""")
+@query(f"""WITH p AS {_LATEST}, w AS (SELECT company, count(*) AS postings, count(DISTINCT location) AS places, round(avg(remote::INT), 3) AS remote_share,
+min(date_posted) AS first_date, max(date_posted) AS last_date FROM p WHERE company IS NOT NULL GROUP BY company),
+t AS (SELECT company, tag, count(*) AS n FROM (SELECT company, unnest(tags) AS tag FROM p WHERE company IS NOT NULL) GROUP BY company, tag),
+b AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY n DESC, tag) AS r FROM t),
+g AS (SELECT company, list(tag ORDER BY r) AS tags FROM b WHERE r <= 20 GROUP BY company)
+SELECT w.*, coalesce(g.tags, []::VARCHAR[]) AS tags FROM w LEFT JOIN g USING (company)""")
 def a03_company_profile(spark, d):
-    return market.company_profile(_postings(spark, d))
+    return market.company_profile(_postings(spark, d, "company", "location", "remote", "date_posted", "tags"))
+
+
+@query(f"""SELECT company, location, row_number() OVER (PARTITION BY company ORDER BY min(posting_id), location) AS place_no FROM {_LATEST}
+WHERE company IS NOT NULL AND location IS NOT NULL GROUP BY company, location""")
+def u08_company_places(spark, d):
+    return market.company_places(_postings(spark, d, "company", "location"))
+
+
+@query(f"SELECT posting_id FROM {_LATEST}")
+def f11_postings_or_all(spark, d):
+    """A company that isn't there falls back to all postings."""
+    return market.postings_of(_postings(spark, d, "company"), "No Such Company").select("posting_id")
 
 
 @query(f"SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM {_LATEST}) GROUP BY tag ORDER BY n DESC, tag LIMIT 20")
 def t6_top_tags(spark, d):
-    return market.tag_counts(_postings(spark, d)).orderBy(F.desc("n"), "tag").limit(20)
+    return market.tag_counts(_postings(spark, d, "tags")).orderBy(F.desc("n"), "tag").limit(20)
 
 
 @query("""SELECT posting_id FROM monitor_new_jobs m WHERE NOT EXISTS (SELECT 1 FROM job_postings j WHERE j.source = m.source AND j.source_id = m.source_id)""")
@@ -122,38 +145,66 @@ def j02_monitor_diff(spark, d):
 
 @query("SELECT DISTINCT source, source_id FROM job_postings")
 def k05_snapshot(spark, d):
-    return table(spark, d, "job_postings", "source", "source_id").distinct()
+    """Written by the sink and read again."""
+    path = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+    sinks.snapshot(table(spark, d, "job_postings"), ["source", "source_id"], path)
+    return spark.read.parquet(path)
 
 
 @query(f"""SELECT posting_id, CASE WHEN coalesce(apply_url, '') <> '' THEN 'ats'
 WHEN regexp_matches(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '(^|\\.)(linkedin|indeed|glassdoor)\\.com$') THEN 'aggregator' ELSE 'direct' END AS kind FROM {_LATEST}""")
-def p01_application_source(spark, d):
-    p = _postings(spark, d)
-    return p.select("posting_id", market.application_source(p).alias("kind"))
+def pr01_application_source(spark, d):
+    return _postings(spark, d, market.application_source(_all(spark, d)).alias("kind"))
+
+
+_MOMENT = """CASE WHEN regexp_matches(substring(date_posted, 1, 19), '^\\d{4}-\\d{2}-\\d{2}(?:T\\d{2}:\\d{2}:\\d{2})?$')
+THEN epoch(try_cast(replace(substring(date_posted, 1, 19), 'T', ' ') AS TIMESTAMP)) END"""
+_NOW = 1782907200  # 2026-07-01 12:00
+_RECENCY = f"coalesce(exp(-ln(2.0) * greatest(0, {_NOW} - {_MOMENT}) / 86400 / 7), 0.5)"
+
+
+@query(f"SELECT posting_id, round({_RECENCY}, 6) AS recency FROM {_LATEST}")
+def pr11_recency(spark, d):
+    return _postings(spark, d, F.round(market.recency(F.col("date_posted"), F.lit(_NOW)), 6).alias("recency"))
+
+
+_LOW = f"regexp_matches(t, '\\b({market.LOW_LEVEL})\\b')"
+_HIGH = f"regexp_matches(t, '\\b({market.HIGH_LEVEL})\\b')"
+_COMPETITION = f"""greatest(0.0, least(1.0, 0.5 - (CASE WHEN remote THEN 0.15 WHEN NOT remote THEN -0.05 ELSE 0.0 END
++ CASE WHEN {_LOW} THEN 0.20 WHEN {_HIGH} THEN -0.15 ELSE 0.0 END)))::DOUBLE"""
+_TITLED = f"(SELECT posting_id, remote, date_posted, lower(title || ' ' || array_to_string(tags, ' ')) AS t FROM {_LATEST})"
 
 
-@query(f"""SELECT posting_id, round(coalesce(exp(-ln(2.0) * greatest(0, date_diff('day', {_DATE}, DATE '2026-07-01')) / 7), 0.5), 6) AS recency FROM {_LATEST}""")
-def p11_recency(spark, d):
-    return _postings(spark, d).select("posting_id", F.round(market.recency(F.col("date_posted"), F.lit("2026-07-01").cast("date")), 6).alias("recency"))
+@query(f"SELECT posting_id, round({_COMPETITION}, 4) AS competition FROM {_TITLED}")
+def pr12_competition(spark, d):
+    return _postings(spark, d, F.round(market.competition(_all(spark, d)), 4).alias("competition"))
 
 
-@query(f"""SELECT posting_id, round(greatest(0.0, least(1.0, 0.5 - (CASE WHEN remote THEN 0.15 WHEN NOT remote THEN -0.05 ELSE 0.0 END
-+ CASE WHEN regexp_matches(t, '\\b(junior|stagiaire|stage|entry|intern|graduate)\\b') THEN 0.20
-WHEN regexp_matches(t, '\\b(senior|lead|principal|staff|architect|director|vp|head)\\b') THEN -0.15 ELSE 0.0 END)))::DOUBLE, 4) AS competition
-FROM (SELECT posting_id, remote, lower(title || ' ' || array_to_string(tags, ' ')) AS t FROM {_LATEST})""")
-def p12_competition(spark, d):
-    p = _postings(spark, d)
-    return p.select("posting_id", F.round(market.competition(p), 4).alias("competition"))
+@query(f"SELECT posting_id, posting_id % 300 AS applicants, CASE WHEN posting_id % 300 < 10 THEN 0.85 WHEN posting_id % 300 < 50 THEN 0.65 WHEN posting_id % 300 < 200 THEN 0.45 ELSE 0.2 END::DOUBLE AS hiring FROM {_LATEST}")
+def pr13_hiring(spark, d):
+    """The tables tell no number of applicants; one is made from the id."""
+    n = F.col("posting_id") % 300
+    return _postings(spark, d, n.alias("applicants"), market.hiring(n).alias("hiring"))
+
+
+@query(f"""SELECT posting_id, round(100 * (0.4 * (posting_id % 101) / 100 + 0.2 * {_RECENCY} + 0.2 * {_COMPETITION} + 0.1 * 0.5 + 0.1 * 0.0), 2) AS score,
+CASE WHEN 1 + ({_MOMENT} IS NOT NULL)::INT + (remote IS NOT NULL OR {_LOW} OR {_HIGH})::INT >= 4 THEN 'high'
+WHEN 1 + ({_MOMENT} IS NOT NULL)::INT + (remote IS NOT NULL OR {_LOW} OR {_HIGH})::INT >= 2 THEN 'med' ELSE 'low' END AS confidence FROM {_TITLED}""")
+def pr10_chances(spark, d):
+    """Signals of a posting with a fit made from its id; applicants and network unknown."""
+    none = F.lit(None).cast("double")
+    parts = market.chances(_all(spark, d), (F.col("posting_id") % 101).cast("double"), F.lit(_NOW), none, none)
+    return _postings(spark, d, *(c.alias(k) for k, c in parts.items()))
 
 
 @query(f"SELECT posting_id, CAST({_DATE} AS VARCHAR) AS day FROM {_LATEST}")
 def d01_iso_date(spark, d):
-    return _postings(spark, d).select("posting_id", market.iso_date(F.col("date_posted")).cast("string").alias("day"))
+    return _postings(spark, d, market.iso_date(F.col("date_posted")).cast("string").alias("day"))
 
 
 @query(f"SELECT posting_id, {_NORM.format('title')} AS title_key, {_NORM.format('company')} AS company_key FROM {_LATEST}")
 def x04_normalised(spark, d):
-    return _postings(spark, d).select("posting_id", market.normalised(F.col("title")).alias("title_key"), market.normalised(F.col("company")).alias("company_key"))
+    return _postings(spark, d, market.normalised(F.col("title")).alias("title_key"), market.normalised(F.col("company")).alias("company_key"))
 
 
 _TOKENS = "(SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{L}[\\p{L}\\p{N}]{2,}')) AS token FROM documents)"
@@ -204,11 +255,15 @@ def x01_sections(spark, d):
     return texts.sections(_cvs(spark, d), "cv_id", "raw_text").select("cv_id", F.col("section_no").cast("bigint").alias("section_no"), "name", "text")
 
 
-@query(f"""SELECT cv_id, CASE WHEN length(t) < 50 THEN 0.0 ELSE round(greatest(0.0, 1.0 - CASE WHEN regexp_matches(raw_text, '[\\w.+-]+@[\\w-]+\\.[\\w.-]+') THEN 0 ELSE 0.3 END
-- CASE WHEN length(t) < 200 THEN 0.2 ELSE 0 END)::DOUBLE, 6) END::DOUBLE AS confidence
-FROM (SELECT cv_id, raw_text, regexp_replace(raw_text, '^\\s+|\\s+$', '', 'g') AS t FROM {_CV} WHERE raw_text IS NOT NULL)""")
-def p38_parse_confidence(spark, d):
-    return _cvs(spark, d).where("raw_text is not null").select("cv_id", texts.parse_confidence(F.col("raw_text"), F.lit(True)).alias("confidence"))
+@query(f"""WITH h AS (SELECT cv_id, count(*) AS n FROM (SELECT cv_id, {_HEAD} AS name FROM (SELECT cv_id, rtrim(regexp_replace(trim(lower(strip_accents(line))), ':+$', '')) AS h FROM {_LINES}))
+WHERE name IS NOT NULL GROUP BY cv_id)
+SELECT cv_id, CASE WHEN length(t) < 50 THEN 0.0 ELSE round(greatest(0.0, 1.0 - CASE WHEN regexp_matches(raw_text, '[\\w.+-]+@[\\w-]+\\.[\\w.-]+') THEN 0 ELSE 0.3 END
+- CASE WHEN n > 0 THEN 0 ELSE 0.4 END - CASE WHEN length(t) < 200 THEN 0.2 ELSE 0 END)::DOUBLE, 6) END::DOUBLE AS confidence
+FROM (SELECT cv_id, raw_text, regexp_replace(raw_text, '^\\s+|\\s+$', '', 'g') AS t FROM {_CV} WHERE raw_text IS NOT NULL) LEFT JOIN h USING (cv_id)""")
+def pr38_parse_confidence(spark, d):
+    cvs = _cvs(spark, d).where("raw_text is not null")
+    has = F.exists(F.split("raw_text", r"\r\n|\r|\n"), lambda x: texts.heading_name(F.regexp_replace(x, r"\s+", " ")).isNotNull())
+    return cvs.select("cv_id", texts.parse_confidence(F.col("raw_text"), has).alias("confidence"))
 
 
 @query("SELECT cv_id, lower(raw_heading) AS folded, min_by(raw_heading, section_no * 1000000000::BIGINT) AS raw_heading FROM (SELECT cv_id, section_no, min(raw_heading) AS raw_heading FROM cv_sections WHERE raw_heading IS NOT NULL GROUP BY cv_id, section_no) GROUP BY cv_id, lower(raw_heading)")
@@ -217,38 +272,20 @@ def w02_distinct_first(spark, d):
     return texts.distinct_first(one, "cv_id", "raw_heading", "section_no")
 
 
-@query("""SELECT a.n_name AS company, b.n_name AS known_name FROM nation a JOIN nation b ON contains(lower(a.n_name), lower(b.n_name)) OR contains(lower(b.n_name), lower(a.n_name))""")
+@query("""WITH a AS (SELECT DISTINCT company FROM job_postings WHERE trim(company) <> ''), b AS (SELECT DISTINCT company AS known_name FROM monitor_new_jobs WHERE trim(company) <> '')
+SELECT company, known_name FROM a JOIN b ON contains(lower(trim(company)), lower(trim(known_name))) OR contains(lower(trim(known_name)), lower(trim(company)))""")
 def j03_name_overlap(spark, d):
-    n = table(spark, d, "nation", "n_name")
-    return market.name_overlap_join(n.select(F.col("n_name").alias("company")), n.select(F.col("n_name").alias("known_name")), "company", "known_name")
+    """Employers of the history against those of new postings."""
+    a, b = table(spark, d, "job_postings", "company").distinct(), table(spark, d, "monitor_new_jobs", F.col("company").alias("known_name")).distinct()
+    return market.name_overlap_join(a, b, "company", "known_name")
 
 
-@query("""SELECT c_custkey, c_nationkey, s_suppkey FROM (SELECT c_custkey, c_nationkey, s_suppkey,
+@query("""SELECT c_custkey, c_nationkey, s_suppkey, CASE WHEN s_suppkey IS NOT NULL THEN coalesce(gap <> 0, true) END AS approximate FROM (SELECT c_custkey, c_nationkey, s_suppkey, abs(c_acctbal - s_acctbal) AS gap,
 row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - s_acctbal) NULLS LAST, s_suppkey) AS r FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey) WHERE r = 1""")
 def j04_nearest(spark, d):
     c = table(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal")
     s = table(spark, d, "supplier", "s_suppkey", "s_nationkey", "s_acctbal").withColumnRenamed("s_nationkey", "c_nationkey")
-    return market.nearest(c, s, ["c_nationkey"], "c_acctbal", "s_acctbal", "s_suppkey").select("c_custkey", "c_nationkey", "match.s_suppkey")
-
-
-@query("""SELECT c_mktsegment AS channel, count(*) AS n, round(avg((o_orderstatus IN ('F', 'P'))::INT), 4) AS reached_share, round(avg((o_orderstatus = 'F')::INT), 4) AS done_share
-FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment""")
-def a02_channel_shares(spark, d):
-    o = table(spark, d, "orders", "o_custkey", "o_orderstatus").join(table(spark, d, "customer", "c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
-    return o.groupBy(F.col("c_mktsegment").alias("channel")).agg(
-        F.count("*").alias("n"), F.round(F.avg(F.col("o_orderstatus").isin("F", "P").cast("int")), 4).alias("reached_share"), F.round(F.avg((F.col("o_orderstatus") == "F").cast("int")), 4).alias("done_share")
-    )
-
-
-@query("""SELECT user_id, count(*) AS steps, arg_max(event_type, ts) AS current_step, min(ts) AS first_at, max(ts) AS last_at FROM events
-WHERE user_id IS NOT NULL GROUP BY user_id""")
-def w06_stage_history(spark, d):
-    return table(spark, d, "events").where("user_id is not null").groupBy("user_id").agg(
-        F.count("*").alias("steps"), F.max_by("event_type", "ts").alias("current_step"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at")
-    )
-
-
-_VALID = "(SELECT DISTINCT page_id, source, payload FROM provider_pages WHERE payload IS NOT NULL AND json_valid(payload))"
+    return market.nearest(c, s, ["c_nationkey"], "c_acctbal", "s_acctbal", "s_suppkey").select("c_custkey", "c_nationkey", "match.s_suppkey", "approximate")
 
 
 @query("SELECT source, count(*) AS pages, sum((payload IS NULL OR NOT json_valid(payload))::INT)::BIGINT AS broken FROM provider_pages GROUP BY source")
@@ -257,40 +294,6 @@ def s22_tolerant_scan(spark, d):
     return table(spark, d, "provider_pages").groupBy("source").agg(F.count("*").alias("pages"), F.sum(bad.cast("bigint")).alias("broken"))
 
 
-def _pages(spark, d, source):
-    return table(spark, d, "provider_pages").where(F.col("source") == source).select("page_id", "payload").distinct()
-
-
-def _items(source: str, key: str | None) -> str:
-    path = f"payload -> '$.{key}'" if key else "payload::JSON"
-    return f"(SELECT page_id, unnest(from_json({path}, '[\"JSON\"]')) AS i FROM {_VALID} WHERE source = '{source}')"
-
-
-@query(f"""SELECT page_id, i ->> '$.id' AS source_id, i ->> '$.title' AS title, i ->> '$.company.display_name' AS company, i ->> '$.location.display_name' AS location,
-i ->> '$.redirect_url' AS url, i ->> '$.created' AS date_posted FROM {_items('adzuna', 'results')}""")
-def s13_adzuna(spark, d):
-    return providers.normalise(_pages(spark, d, "adzuna"), "adzuna", "page_id").select("page_id", "source_id", "title", "company", "location", "url", "date_posted")
-
-
-@query(f"""SELECT page_id, i ->> '$.id' AS source_id, i ->> '$.intitule' AS title, i ->> '$.entreprise.nom' AS company, i ->> '$.lieuTravail.libelle' AS location,
-list_transform(from_json(i -> '$.competences', '["JSON"]'), lambda x: x ->> '$.libelle') AS tags FROM {_items('france_travail', 'resultats')}""")
-def s12_france_travail(spark, d):
-    return providers.normalise(_pages(spark, d, "france_travail"), "france_travail", "page_id").select("page_id", "source_id", "title", "company", "location", "tags")
-
-
-@query(f"""SELECT page_id, i ->> '$.id' AS source_id, i ->> '$.text' AS title, i ->> '$.categories.location' AS location,
-CASE WHEN coalesce(i ->> '$.workplaceType', '') <> '' THEN (i ->> '$.workplaceType') = 'remote' END AS remote, i ->> '$.hostedUrl' AS url FROM {_items('lever', None)}""")
-def s02_lever(spark, d):
-    return providers.normalise(_pages(spark, d, "lever"), "lever", "page_id").select("page_id", "source_id", "title", "location", "remote", "url")
-
-
-@query()
-def u01_all_providers(spark, d):
-    return providers.union_all([providers.normalise(_pages(spark, d, p), p) for p in ("france_travail", "adzuna", "lever", "jsearch", "ashby", "remoteok", "usajobs")]).select(
-        "source", "source_id", "title", "company", "location", "remote", "url", "apply_url", "date_posted", "salary", "tags"
-    )
-
-
 _STINTS = """(SELECT DISTINCT cv_id, substring(p, 1, 4)::INT AS first, substring(p, 6, 4)::INT AS last FROM (SELECT cv_id,
 unnest(regexp_extract_all(raw_text, '\\(((?:19|20)[0-9]{2}-(?:19|20)[0-9]{2})\\)', 1)) AS p FROM """ + _CV + """) WHERE substring(p, 1, 4) <= substring(p, 6, 4))"""
 
@@ -318,7 +321,7 @@ def x18_pages(spark, d):
 
 @query("""SELECT doc_id, n AS words, round(n / 130 * 60)::INT AS seconds, regexp_matches(text, '[0-9]{2,}|[0-9] ?[%€$£k]') AS quantified
 FROM (SELECT doc_id, text, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n FROM documents WHERE kind = 'interview_answer' AND text IS NOT NULL)""")
-def p26_answer_metrics(spark, d):
+def pr26_answer_metrics(spark, d):
     answers = table(spark, d, "documents").where("kind = 'interview_answer' and text is not null")
     return answers.select("doc_id", *(c.alias(n) for n, c in resume.answer_metrics(F.col("text")).items()))
 
@@ -339,60 +342,10 @@ def x10_offer_requirements(spark, d):
     return match.requirements(table(spark, d, "documents").where("kind = 'offer' and text is not null"), "doc_id", "text")
 
 
-_HELD = """(SELECT DISTINCT doc_id AS cv, rtrim(unnest(regexp_extract_all(lower(text), '\\.?[\\p{L}\\p{N}][\\p{L}\\p{N}+#.-]*')), '.') AS term FROM documents WHERE kind = 'resume' AND text IS NOT NULL)"""
-_COVERED = f"""(WITH w AS {_WANTED}, h AS {_HELD}, pairs AS (SELECT o.doc_id, c.doc_id AS cv FROM (SELECT doc_id FROM documents WHERE kind = 'offer') o
-JOIN (SELECT doc_id FROM documents WHERE kind = 'resume') c ON c.doc_id = o.doc_id + 1)
-SELECT cv, w.doc_id, kind, w.term, EXISTS (SELECT 1 FROM h WHERE h.cv = pairs.cv AND (h.term = w.term OR list_contains(regexp_split_to_array(w.term, '\\s+'), h.term))) AS covered
-FROM pairs JOIN w USING (doc_id))"""
-
-
-def _covered(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "kind", "text")
-    offers, cvs = docs.where("kind = 'offer'"), docs.where("kind = 'resume'").withColumnRenamed("doc_id", "cv")
-    pairs = offers.select("doc_id").withColumn("cv", F.col("doc_id") + 1).join(cvs.select("cv"), "cv")
-    wanted = match.requirements(offers.where("text is not null"), "doc_id", "text")
-    return match.coverage(pairs, wanted, match.terms_of(cvs.where("text is not null"), "cv", "text"), "doc_id", "cv")
-
-
-@query(f"SELECT * FROM {_COVERED}")
-def j01_coverage(spark, d):
-    """Offers against the CV that follows them in the documents, as a table of given pairs."""
-    return _covered(spark, d)
-
-
-@query(f"""SELECT cv, doc_id, round(100 * (0.75 * coalesce(avg(covered::INT) FILTER (WHERE kind = 'must'), 0) + 0.25 * coalesce(avg(covered::INT) FILTER (WHERE kind = 'nice'), 0)), 2) AS score,
-sum((NOT covered AND kind = 'must')::INT)::BIGINT AS missing_must FROM {_COVERED} GROUP BY cv, doc_id""")
-def a06_match_score(spark, d):
-    return match.score(_covered(spark, d), "doc_id", "cv")
-
-
-def _all_covered(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "kind", "text").where("text is not null")
-    offers, cvs = docs.where("kind = 'offer'"), docs.where("kind = 'resume'").withColumnRenamed("doc_id", "cv")
-    aliases = match.synonyms(spark)
-    wanted = match.requirements(offers, "doc_id", "text")
-    offered = match.terms_of(cvs, "cv", "text").unionByName(match.phrases_of(cvs, "cv", "text", aliases)).distinct()
-    return offers, cvs, wanted, match.covered_terms(wanted, offered, aliases, "cv")
-
-
-@query()
-def j01_all_terms(spark, d):
-    """What each CV covers of the terms of all offers; with x10_offer_requirements, the coverage of any offer by any CV."""
-    return _all_covered(spark, d)[3]
-
-
-@query()
-def a06_all_scores(spark, d):
-    """All offers against all CVs, but for pairs without a covered term."""
-    offers, cvs, wanted, found = _all_covered(spark, d)
-    level = match.level_rank(F.col("text")).alias("level")
-    return match.all_scores(wanted, found, offers.select("doc_id", level), cvs.select("cv", level), "doc_id", "cv")
-
-
 @query(f"""SELECT posting_id, coalesce(CASE regexp_extract(lower(strip_accents(title)), '\\b(junior|senior|lead|principal|stagiaire|stage|confirme)\\b', 1) WHEN 'stagiaire' THEN 0 WHEN 'stage' THEN 0
 WHEN 'junior' THEN 1 WHEN 'confirme' THEN 2 WHEN 'senior' THEN 3 WHEN 'lead' THEN 4 WHEN 'principal' THEN 5 END, -1) AS level_rank FROM {_LATEST}""")
 def x12_level_rank(spark, d):
-    return _postings(spark, d).select("posting_id", F.coalesce(match.level_rank(F.col("title")), F.lit(-1)).alias("level_rank"))
+    return _postings(spark, d, F.coalesce(match.level_rank(F.col("title")), F.lit(-1)).alias("level_rank"))
 
 
 @query("SELECT source FROM job_postings EXCEPT SELECT source FROM provider_pages")
@@ -403,10 +356,3 @@ def u05_except(spark, d):
 @query("SELECT source FROM job_postings INTERSECT SELECT source FROM provider_pages")
 def u06_intersect(spark, d):
     return table(spark, d, "job_postings", "source").intersect(table(spark, d, "provider_pages", "source"))
-
-
-@query("""SELECT batch_no, count(*) AS n, count(DISTINCT source) AS sources, min(detected_at) AS first_at, max(detected_at) AS last_at FROM monitor_new_jobs GROUP BY batch_no""")
-def a18_batch_envelope(spark, d):
-    return table(spark, d, "monitor_new_jobs").groupBy("batch_no").agg(
-        F.count("*").alias("n"), F.countDistinct("source").alias("sources"), F.min("detected_at").alias("first_at"), F.max("detected_at").alias("last_at")
-    )

@@ -2,7 +2,8 @@
 
 ``POSTING`` columns: source, source_id, title, company, location, remote, url,
 apply_url, date_posted, description, salary, tags, raw. Items that are no
-objects are skipped; empty strings count as absent where a field falls back.
+objects are skipped. Empty texts, zero and false count as absent where a field
+falls back; source_id, title, url and description are never null.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave.operators.timestamps import _iso
@@ -33,7 +34,13 @@ def _first(*cs: Column) -> Column:
 
 
 def _bool(c: Column) -> Column:
-    return F.when(c == "true", True).when(c == "false", False)
+    """Null where absent; false where the value is false, zero or empty."""
+    return F.when(c.isNotNull(), ~c.isin("false", "0", "0.0", "", "[]", "{}"))
+
+
+def _told(c: Column) -> Column:
+    """Absent where empty or zero."""
+    return F.when(~c.isin("", "0", "0.0", "false"), c)
 
 
 def _strings(path: str, field: str | None = None) -> Column:
@@ -45,64 +52,237 @@ def _strings(path: str, field: str | None = None) -> Column:
 
 
 def _iso_of_epoch(text: Column, per_second: int = 1) -> Column:
-    """An epoch as ISO time in UTC; other texts stay."""
+    """An epoch as ISO time in UTC; other texts stay, and so do numbers beyond the year 9999."""
     seconds = F.floor(text.try_cast("decimal(20,3)") / per_second)
-    return F.when(text.rlike(r"^\d+(?:\.\d+)?$"), _iso(seconds)).otherwise(text)
-
-
-def _range(low: Column, high: Column, sep: str, unit: Column | None = None) -> Column:
-    both = F.concat_ws(sep, low, high)
-    return F.when(low.isNotNull() | high.isNotNull(), F.concat_ws(" ", both, unit) if unit is not None else both)
+    return F.when(text.rlike(r"^\d+(?:\.\d+)?$") & (seconds < 253402300800), _iso(seconds)).otherwise(text)
 
 
 def _none() -> Column:
     return F.lit(None).cast("string")
 
 
-#: For each provider: key of the items (None: a bare list) and the fields that differ from null.
-SPECS: dict[str, tuple[str | None, Callable[[], dict[str, Column]]]] = {
-    "greenhouse": ("jobs", lambda: dict(source_id=_g("id"), title=_g("title"), location=_g("location.name"), url=_g("absolute_url"), date_posted=_g("updated_at"), description=_g("content"))),
-    "lever": ("data", lambda: dict(source_id=_g("id"), title=_g("text"), location=_g("categories.location"), remote=F.when(_t(_g("workplaceType")).isNotNull(), _g("workplaceType") == "remote"), url=_g("hostedUrl"), apply_url=_g("applyUrl"), date_posted=_iso_of_epoch(_t(_g("createdAt")), 1000), description=_first(_g("descriptionPlain"), _g("description")))),
-    "ashby": ("jobs", lambda: dict(source_id=_g("id"), title=_g("title"), location=_g("location"), remote=_bool(_g("isRemote")), url=_g("jobUrl"), apply_url=_g("applyUrl"), date_posted=_g("publishedDate"), description=_first(_g("descriptionPlain"), _g("descriptionHtml")), salary=_t(F.array_join(_strings("compensation.summaryComponents", "value"), " / ")))),
-    "recruitee": ("offers", lambda: dict(source_id=_g("id"), title=_g("title"), location=_t(F.concat_ws(", ", _t(_g("city")), _t(_g("country")))), remote=_bool(_g("remote")), url=_g("careers_url"), date_posted=_g("created_at"), description=_g("description"), salary=_range(_g("salary_from"), _g("salary_to"), " – ", _g("salary_currency")))),
-    "workable": ("jobs", lambda: dict(source_id=_g("shortcode"), title=_first(_g("full_title"), _g("title")), location=_t(F.concat_ws(", ", _t(_g("location.city")), _t(_g("location.region")), _t(_g("location.country")))), remote=_bool(_g("location.telecommuting")), url=_g("url"), apply_url=_g("application_url"), date_posted=_g("created_at"), description=_g("description"))),
-    "smartrecruiters": ("content", lambda: dict(source_id=_g("id"), title=_g("name"), company=_g("company.name"), location=_t(F.concat_ws(", ", _t(_g("location.city")), _t(_g("location.region")), _t(_g("location.country")))), remote=_bool(_g("location.remote.enabled")), url=_first(_g("applyUrl"), F.concat(F.lit("https://jobs.smartrecruiters.com/"), _g("id"))), apply_url=_g("applyUrl"), date_posted=_g("releasedDate"), description=_g("jobAd.sections.jobDescription.text"))),
-    "remoteok": ("data", lambda: dict(source_id=_g("id"), title=_g("position"), company=_g("company"), location=_t(_g("location")), remote=F.lit(True), url=_g("url"), apply_url=_g("apply_url"), date_posted=F.coalesce(_iso_of_epoch(_t(_g("epoch"))), _t(_g("date"))), description=_g("description"), salary=_range(_t(_g("salary_min")), _t(_g("salary_max")), " – "), tags=_strings("tags"))),
-    "remotive": ("jobs", lambda: dict(source_id=_g("id"), title=_g("title"), company=_g("company_name"), remote=F.lit(True), url=_g("url"), date_posted=_g("publication_date"), description=_g("description"), salary=_t(_g("salary")), tags=_strings("tags"))),
-    "arbeitnow": ("data", lambda: dict(source_id=_g("slug"), title=_g("title"), company=_g("company_name"), location=_t(_g("location")), remote=_bool(_g("remote")), url=_g("url"), date_posted=_iso_of_epoch(_t(_g("created_at"))), description=_g("description"), tags=_strings("tags"))),
-    "careerjet": ("jobs", lambda: dict(source_id=_t(F.substring_index(F.rtrim(_g("url"), F.lit("/")), "/", -1)), title=_g("title"), company=_t(_g("company")), location=_t(_g("locations")), url=_g("url"), date_posted=_t(_g("date")), description=_g("description"))),
-    "france_travail": ("resultats", lambda: dict(source_id=_g("id"), title=_g("intitule"), company=_g("entreprise.nom"), location=_g("lieuTravail.libelle"), url=_first(_g("origineOffre.urlOrigine"), F.concat(F.lit("https://candidat.francetravail.fr/offres/recherche/detail/"), _g("id"))), date_posted=_first(_g("dateCreation"), _g("dateActualisation")), description=_g("description"), salary=_g("salaire.libelle"), tags=_strings("competences", "libelle"))),
-    "adzuna": ("results", lambda: dict(source_id=_g("id"), title=_g("title"), company=_g("company.display_name"), location=_g("location.display_name"), url=_g("redirect_url"), date_posted=_g("created"), description=_g("description"), salary=F.when(_g("salary_min").isNotNull() | _g("salary_max").isNotNull(), F.concat(F.coalesce(_g("salary_min"), F.lit("?")), F.lit("–"), F.coalesce(_g("salary_max"), F.lit("?")))), tags=F.when(_t(_g("category.label")).isNotNull(), F.array(_g("category.label"))))),
-    "jsearch": ("data", lambda: dict(source_id=_g("job_id"), title=_g("job_title"), company=_g("employer_name"), location=_t(F.concat_ws(", ", _t(_g("job_city")), _t(_g("job_state")), _t(_g("job_country")))), remote=_bool(_g("job_is_remote")), url=_first(_g("job_apply_link"), _g("job_google_link")), apply_url=_t(_g("job_apply_link")), date_posted=_g("job_posted_at_datetime_utc"), description=_g("job_description"), tags=F.flatten(F.transform(F.map_values(F.from_json(_g("job_highlights"), "map<string,array<string>>")), lambda x: F.slice(F.coalesce(x, F.array().cast("array<string>")), 1, 3))))),
-    "usajobs": ("SearchResult.SearchResultItems", lambda: dict(source_id=_g("MatchedObjectDescriptor.PositionID"), title=_g("MatchedObjectDescriptor.PositionTitle"), company=_g("MatchedObjectDescriptor.OrganizationName"), location=_g("MatchedObjectDescriptor.PositionLocation[0].LocationName"), url=_g("MatchedObjectDescriptor.PositionURI"), apply_url=_g("MatchedObjectDescriptor.ApplyURI[0]"), date_posted=_g("MatchedObjectDescriptor.PublicationStartDate"), description=_g("MatchedObjectDescriptor.QualificationSummary"), salary=_range(_g("MatchedObjectDescriptor.PositionRemuneration[0].MinimumRange"), _g("MatchedObjectDescriptor.PositionRemuneration[0].MaximumRange"), "–", _g("MatchedObjectDescriptor.PositionRemuneration[0].RateIntervalCode")), tags=_strings("MatchedObjectDescriptor.JobGrade", "Code"))),
-    "reed": ("results", lambda: dict(source_id=_g("jobId"), title=_g("jobTitle"), company=_g("employerName"), location=_g("locationName"), remote=F.when(F.lower(_g("locationName")).contains("remote"), True), url=_g("jobUrl"), apply_url=_g("jobUrl"), date_posted=_g("date"), description=_g("jobDescription"), salary=_range(_g("minimumSalary"), _g("maximumSalary"), "–", F.coalesce(_t(_g("currency")), F.lit("GBP"))))),
-    "themuse": ("results", lambda: dict(source_id=_g("id"), title=_g("name"), company=_g("company.name"), location=_g("locations[0].name"), url=_g("refs.landing_page"), date_posted=_g("publication_date"), description=_g("contents"), tags=F.concat(_strings("categories", "name"), _strings("levels", "name")))),
-    "jooble": ("jobs", lambda: dict(source_id=_g("id"), title=_g("title"), company=_g("company"), location=_g("location"), remote=F.when(F.lower(_g("location")).contains("remote"), True), url=_g("link"), date_posted=_g("updated"), description=_g("snippet"), salary=_t(_g("salary")))),
-    "labonneboite": ("companies", lambda: dict(source_id=_g("siret"), title=F.concat(F.lit("(marché caché) "), _g("name")), company=_g("name"), location=_t(F.concat_ws(", ", _t(_g("city")), _t(_g("zipcode")))), url=_first(_g("url"), F.concat(F.lit("https://labonneboite.francetravail.fr/entreprise/"), _g("siret"))), description=F.concat_ws(" — ", _t(_g("naf_text")), _t(_g("headcount_text"))))),
+def _open_range(low: Column, high: Column, present: Column) -> Column:
+    """"low–high" with "?" for an end that isn't told."""
+    return F.when(present, F.concat(F.coalesce(_told(low), F.lit("?")), F.lit("–"), F.coalesce(_told(high), F.lit("?"))))
+
+
+def _joined(sep: str, *parts: Column) -> Column:
+    return _t(F.concat_ws(sep, *map(_t, parts)))
+
+
+def _remote_place(c: Column) -> Column:
+    return F.when(F.lower(c).contains("remote"), True)
+
+
+def _greenhouse():
+    return dict(source_id=_g("id"), title=_g("title"), location=_g("location.name"), url=_g("absolute_url"), date_posted=_t(_g("updated_at")), description=_g("content"))
+
+
+def _lever():
+    kind = _t(_g("workplaceType"))
+    return dict(
+        source_id=_g("id"), title=_g("text"), location=_g("categories.location"), remote=F.when(kind.isNotNull(), kind == "remote"), url=_g("hostedUrl"), apply_url=_g("applyUrl"),
+        date_posted=_iso_of_epoch(_g("createdAt"), 1000), description=_first(_g("descriptionPlain"), _g("description")),
+    )
+
+
+def _ashby():
+    return dict(
+        source_id=_g("id"), title=_g("title"), location=_t(_g("location")), remote=_bool(_g("isRemote")), url=_g("jobUrl"), apply_url=_g("applyUrl"), date_posted=_g("publishedDate"),
+        description=_first(_g("descriptionPlain"), _g("descriptionHtml")), salary=_t(F.array_join(_strings("compensation.summaryComponents", "value"), " / ")),
+    )
+
+
+def _recruitee():
+    low, high = _told(_g("salary_from")), _told(_g("salary_to"))
+    return dict(
+        source_id=_g("id"), title=_g("title"), location=_joined(", ", _g("city"), _g("country")), remote=_bool(_g("remote")), url=_first(_g("careers_url"), _g("url")), date_posted=_g("created_at"),
+        description=_g("description"), salary=F.when(low.isNotNull() | high.isNotNull(), F.concat_ws(" ", F.concat_ws(" – ", low, high), _t(_g("salary_currency")))),
+    )
+
+
+def _workable():
+    return dict(
+        source_id=_g("shortcode"), title=_first(_g("full_title"), _g("title")), location=_joined(", ", _g("location.city"), _g("location.country")), remote=_bool(_g("location.telecommuting")),
+        url=_g("url"), apply_url=_g("application_url"), date_posted=_g("created_at"), description=_g("description"),
+    )
+
+
+def _smartrecruiters():
+    own = F.concat(F.lit("https://jobs.smartrecruiters.com/"), F.coalesce(_g("id"), F.lit("")))
+    return dict(
+        source_id=_g("id"), title=_g("name"), company=_t(_g("company.name")), location=_joined(", ", _g("location.city"), _g("location.region"), _g("location.country")),
+        remote=F.when(_g("location.remote").startswith("{"), F.coalesce(_bool(_g("location.remote.enabled")), F.lit(False))), url=_first(_g("applyUrl"), own), apply_url=_g("applyUrl"),
+        date_posted=_g("releasedDate"), description=_g("jobAd.sections.jobDescription.text"),
+    )
+
+
+def _remoteok():
+    low, high = _g("salary_min"), _g("salary_max")
+    return dict(
+        source_id=_told(_g("id")), title=_g("position"), company=_t(_g("company")), location=_t(_g("location")), remote=F.lit(True), url=_g("url"), apply_url=_t(_g("apply_url")),
+        date_posted=F.when(_told(_g("epoch")).rlike(NUMBER), _iso_of_epoch(_g("epoch"))).otherwise(_g("date")), description=_g("description"),
+        salary=F.when(_told(low).isNotNull() | _told(high).isNotNull(), F.concat_ws(" – ", low, high)), tags=_strings("tags"),
+    )
+
+
+def _remotive():
+    return dict(
+        source_id=_told(_g("id")), title=_g("title"), company=_t(_g("company_name")), remote=F.lit(True), url=_g("url"), date_posted=_g("publication_date"), description=_g("description"),
+        salary=_t(_g("salary")), tags=_strings("tags"),
+    )
+
+
+def _arbeitnow():
+    return dict(
+        source_id=_g("slug"), title=_g("title"), company=_t(_g("company_name")), location=_t(_g("location")), remote=_bool(_g("remote")), url=_g("url"),
+        date_posted=_iso_of_epoch(_told(_g("created_at"))), description=_g("description"), tags=_strings("tags"),
+    )
+
+
+def _careerjet():
+    own = _t(F.substring_index(F.rtrim(_g("url"), F.lit("/")), "/", -1))
+    return dict(
+        source_id=F.when(_t(_g("url")).isNull(), F.col(ITEM).cast("string")).otherwise(own), title=_g("title"), company=_t(_g("company")), location=_t(_g("locations")), url=_g("url"),
+        date_posted=_t(_g("date")), description=_g("description"),
+    )
+
+
+def _france_travail():
+    own = F.concat(F.lit("https://candidat.francetravail.fr/offres/recherche/detail/"), F.coalesce(_g("id"), F.lit("")))
+    return dict(
+        source_id=_g("id"), title=_g("intitule"), company=_g("entreprise.nom"), location=_g("lieuTravail.libelle"), url=_first(_g("origineOffre.urlOrigine"), own),
+        date_posted=_first(_g("dateCreation"), _g("dateActualisation")), description=_g("description"), salary=_g("salaire.libelle"), tags=_strings("competences", "libelle"),
+    )
+
+
+def _adzuna():
+    low, high, label = _g("salary_min"), _g("salary_max"), _t(_g("category.label"))
+    return dict(
+        source_id=_g("id"), title=_g("title"), company=_g("company.display_name"), location=_t(_g("location.display_name")), url=_g("redirect_url"), date_posted=_t(_g("created")),
+        description=_g("description"), salary=_open_range(low, high, low.isNotNull() | high.isNotNull()), tags=F.when(label.isNotNull(), F.array(label)),
+    )
+
+
+def _jsearch():
+    low, high = _g("job_min_salary"), _g("job_max_salary")
+    lists = F.map_values(F.from_json(_g("job_highlights"), "map<string,string>"))
+    some = F.transform(lists, lambda x: F.when(x.startswith("["), F.slice(F.from_json(x, "array<string>"), 1, 3)))
+    return dict(
+        source_id=_g("job_id"), title=_g("job_title"), company=_g("employer_name"), location=_joined(", ", _g("job_city"), _g("job_state"), _g("job_country")), remote=_bool(_g("job_is_remote")),
+        url=_first(_g("job_apply_link"), _g("job_google_link")), apply_url=_g("job_apply_link"), date_posted=F.coalesce(_t(_g("job_posted_at_datetime_utc")), _told(_g("job_posted_at_timestamp"))),
+        description=_g("job_description"), salary=_open_range(low, high, low.isNotNull() | high.isNotNull()), tags=F.flatten(F.array_compact(some)),
+    )
+
+
+def _usajobs():
+    d = lambda path: _g(f"MatchedObjectDescriptor.{path}")
+    low, high = d("PositionRemuneration[0].MinimumRange"), d("PositionRemuneration[0].MaximumRange")
+    both = _open_range(low, high, _told(low).isNotNull() | _told(high).isNotNull())
+    return dict(
+        source_id=d("PositionID"), title=d("PositionTitle"), company=d("OrganizationName"), location=d("PositionLocation[0].LocationName"), url=_first(d("PositionURI"), d("ApplyURI[0]")),
+        apply_url=_t(d("ApplyURI[0]")), date_posted=_t(d("PublicationStartDate")), description=_first(d("QualificationSummary"), d("JobSummary")),
+        salary=F.rtrim(F.concat(both, F.lit(" "), F.coalesce(d("PositionRemuneration[0].RateIntervalCode"), F.lit("")))), tags=_strings("MatchedObjectDescriptor.JobGrade", "Code"),
+    )
+
+
+def _reed():
+    low, high, own = _g("minimumSalary"), _g("maximumSalary"), F.concat(F.lit("https://www.reed.co.uk/jobs/"), F.coalesce(_g("jobId"), F.lit("")))
+    both = _open_range(low, high, low.isNotNull() | high.isNotNull())
+    return dict(
+        source_id=_g("jobId"), title=_g("jobTitle"), company=_g("employerName"), location=_g("locationName"), remote=_remote_place(_g("locationName")), url=_first(_g("jobUrl"), own), apply_url=_g("jobUrl"),
+        date_posted=_first(_g("date"), _g("expirationDate")), description=_first(_g("jobDescription"), _g("snippet")), salary=F.rtrim(F.concat(both, F.lit(" "), F.coalesce(_g("currency"), F.lit("GBP")))),
+    )
+
+
+def _themuse():
+    own = F.concat(F.lit("https://www.themuse.com/jobs/"), F.coalesce(_g("id"), F.lit("")))
+    return dict(
+        source_id=_g("id"), title=_g("name"), company=_g("company.name"), location=_g("locations[0].name"), url=_first(_g("refs.landing_page"), own), date_posted=_t(_g("publication_date")),
+        description=_g("contents"), tags=F.concat(_strings("categories", "name"), _strings("levels", "name")),
+    )
+
+
+def _jooble():
+    return dict(
+        source_id=_g("id"), title=_g("title"), company=_g("company"), location=_g("location"), remote=_remote_place(_g("location")), url=_g("link"), date_posted=_t(_g("updated")),
+        description=_g("snippet"), salary=_told(_g("salary")),
+    )
+
+
+def _labonneboite():
+    own = F.concat(F.lit("https://labonneboite.francetravail.fr/"), F.coalesce(F.concat(F.lit("entreprise/"), _t(_g("siret"))), F.lit("")))
+    return dict(
+        source_id=_g("siret"), title=F.rtrim(F.concat(F.lit("(marché caché) "), F.coalesce(_g("name"), F.lit("")))), company=_t(_g("name")), location=_joined(", ", _g("city"), _g("zipcode")),
+        url=_first(_g("url"), own), description=F.concat_ws(" — ", _t(_g("naf_text")), _t(_g("headcount_text"))),
+    )
+
+
+#: Column that holds an item's place in its answer while it is read.
+ITEM = "__item_no"
+NUMBER = r"^\d+(?:\.\d+)?$"
+
+#: For each provider: key of the items and the fields that differ from null.
+SPECS: dict[str, tuple[str, Callable[[], dict[str, Column]]]] = {
+    "greenhouse": ("jobs", _greenhouse), "lever": ("data", _lever), "ashby": ("jobs", _ashby), "recruitee": ("offers", _recruitee), "workable": ("jobs", _workable),
+    "smartrecruiters": ("content", _smartrecruiters), "remoteok": ("jobs", _remoteok), "remotive": ("jobs", _remotive), "arbeitnow": ("data", _arbeitnow), "careerjet": ("jobs", _careerjet),
+    "france_travail": ("resultats", _france_travail), "adzuna": ("results", _adzuna), "jsearch": ("data", _jsearch), "usajobs": ("SearchResult.SearchResultItems", _usajobs),
+    "reed": ("results", _reed), "themuse": ("results", _themuse), "jooble": ("jobs", _jooble), "labonneboite": ("companies", _labonneboite),
 }
 
 
-def normalise(pages: DataFrame, provider: str, *keep: str) -> DataFrame:
+def normalise(pages: DataFrame, provider: str, *keep: str, company: Column | None = None) -> DataFrame:
     """``keep`` columns and POSTING columns of one provider's answers (column ``payload``).
 
-    Broken and null payloads give no rows. Epochs become ISO times; other
-    wordings stay, and ``operators.timestamps`` reads them.
+    ``company`` names the employer of an answer that is one employer's board;
+    an item's own employer comes first. Broken and null payloads give no rows.
+    Epochs become ISO times; other wordings stay, and ``operators.timestamps``
+    reads them.
     """
     envelope, fields = SPECS[provider]
     text = F.trim("payload")
-    body = F.get_json_object(text, f"$.{envelope}") if envelope else text
-    found = F.when(text.startswith("["), F.from_json(text, "array<string>")).otherwise(json_list(body))
-    items = pages.where(F.try_parse_json("payload").isNotNull()).select(*keep, F.explode(found).alias("raw")).where(F.trim("raw").startswith("{"))
+    body = json_list(F.get_json_object(text, f"$.{envelope}"))
+    if provider == "remoteok":
+        # Answers come as a list; an object holds them as "jobs" or "data".
+        body = F.coalesce(body, json_list(F.get_json_object(text, "$.data")))
+    found = F.when(text.startswith("["), F.from_json(text, "array<string>")).otherwise(body)
+    held = [] if company is None else [company.alias("__board")]
+    items = pages.where(F.try_parse_json("payload").isNotNull()).select(*keep, *held, F.posexplode(found).alias(ITEM, "raw")).where(F.trim("raw").startswith("{"))
     if provider == "remoteok":
-        items = items.where(_g("position").isNotNull() | _g("id").isNotNull())
+        items = items.where(F.col("raw").rlike(r'"(?:position|id)"\s*:') & (_g("position").isNotNull() | _g("id").isNotNull()))
+    if provider == "usajobs":
+        items = items.where(F.coalesce(_g("MatchedObjectDescriptor"), F.lit("{}")).startswith("{"))
     got = fields()
+    if company is not None:
+        got["company"] = F.coalesce(got.get("company", _none()), F.col("__board"))
     defaults = {"remote": F.lit(None).cast("boolean"), "tags": F.array().cast("array<string>")}
+    empty = {"source_id": F.lit(""), "title": F.lit(""), "url": F.lit(""), "description": F.lit(""), "tags": defaults["tags"]}
     out = [F.lit(provider).alias("source")]
     for name in POSTING[1:-1]:
         value = got.get(name, defaults.get(name, _none()))
-        out.append((F.coalesce(value, defaults["tags"]) if name == "tags" else value).alias(name))
+        out.append((F.coalesce(value, empty[name]) if name in empty else value).alias(name))
     return items.select(*keep, *out, "raw")
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def search_all(answers: dict[str, DataFrame], per_source: int | None = None) -> DataFrame:
+    """Postings of several providers' answers, by name; with ``per_source``, the first of each answer in its order.
+
+    A provider without answers adds nothing; an unknown one is an error. Each
+    provider is a scan of its own rows, as its reading is another expression.
+    """
+    unknown = set(answers) - set(SPECS)
+    if unknown:
+        raise ValueError(f"unknown providers: {sorted(unknown)}")
+    return union_all([first_items(normalise(df, name), per_source) for name, df in sorted(answers.items())])
+
+
+def first_items(postings: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` postings of each source, by id; all of them without ``n``."""
+    if n is None:
+        return postings
+    order = Window.partitionBy("source").orderBy("source_id", "url")
+    return postings.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).drop("__n")

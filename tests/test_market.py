@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -42,10 +43,40 @@ def test_dedupe_empty_and_nulls(spark):
     assert market.dedupe(df.limit(0)).count() == 0
 
 
-def test_dimension_join_is_bounded(spark):
-    df = spark.range(5).selectExpr("cast(id as string) as n")
-    with pytest.raises(ValueError):
-        market.name_overlap_join(df, df.selectExpr("n as m"), "n", "m", limit_rows=3)
+def test_names_within_names(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abÉ ") for _ in range(rnd.randint(0, 6)))
+    xs, ys = [word() for _ in range(60)] + [None], [word().upper() for _ in range(60)] + [None, ""]
+    one, two = (spark.createDataFrame(list(enumerate(v)), f"{k} int, {c} string") for k, c, v in (("i", "n", xs), ("j", "m", ys)))
+    plain = lambda x: (x or "").strip(" ").lower()
+    want = {(i, j) for i, x in enumerate(xs) for j, y in enumerate(ys) if plain(x) and plain(y) and (plain(x) in plain(y) or plain(y) in plain(x))}
+    got = [(r.i, r.j) for r in market.name_overlap_join(one, two, "n", "m").collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_nearest_is_the_nearest(spark):
+    rnd = random.Random(7)
+    value = lambda: None if rnd.random() < 0.1 else float(rnd.randint(0, 40))
+    left = [(n, rnd.choice("abcz"), value()) for n in range(120)]
+    right = [(n, rnd.choice("abc"), value()) for n in range(90)] + [(900, "n", None), (901, "n", None)]
+    left += [(900, "n", 3.0)]
+    got = market.nearest(spark.createDataFrame(left, "i int, k string, a double"), spark.createDataFrame(right, "j int, k string, b double"), ["k"], "a", "b", "j").collect()
+    assert len(got) == len(left)
+    for r in got:
+        options = sorted((r.a is None or b is None, 0 if r.a is None or b is None else abs(r.a - b), j) for j, k, b in right if k == r.k)
+        assert (r.match and r.match.j) == (options[0][2] if options else None)
+        assert r.approximate == ((options[0][0] or options[0][1] != 0) if options else None)
+
+
+def test_latest_reads_what_is_asked_for(spark):
+    from jobweave.plans import reference_queries
+
+    df = reference_queries.pr11_recency(spark, "/root/testdata/sf0.001")
+    plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    assert "ReadSchema: struct<posting_id:bigint,date_posted:string,ingested_at:timestamp_ntz>" in plan
+    log = spark.createDataFrame([(1, 5, "a", 9), (1, 7, "b", 8), (None, 1, "c", 7), (None, 2, None, 6)], "id int, at int, x string, y int")
+    assert {tuple(r) for r in market.latest(log, "id", "at", "x").collect()} == {(1, "b"), (None, None)}
+    assert {tuple(r) for r in market.latest(log, "id", "at").collect()} == {(1, 7, "b", 8), (None, 2, None, 6)}
 
 
 def test_normalisers(spark):
@@ -71,11 +102,41 @@ def test_requirements_and_score(spark):
     wanted = match.requirements(offers, "offer", "text")
     assert {(r.kind, r.term) for r in wanted.collect()} == {("must", "python"), ("must", "go"), ("must", "k8s"), ("must", "kafka"), ("nice", "rust")}
     cvs = spark.createDataFrame([(7, "Python, kubernetes; Rust."), (8, None)], "cv bigint, text string")
-    synonyms = spark.createDataFrame([("k8s", "kubernetes")], "alias string, canonical string")
-    held, asked = match.canonical(match.terms_of(cvs, "cv", "text"), synonyms), match.canonical(wanted, synonyms)
-    pairs = spark.createDataFrame([(1, 7), (1, 8)], "offer bigint, cv bigint")
-    got = {r.cv: (r.score, r.missing_must) for r in match.score(match.coverage(pairs, asked, held, "offer", "cv"), "offer", "cv").collect()}
-    assert got == {7: (62.5, 2), 8: (0.0, 4)}
+    aliases = spark.createDataFrame([("k8s", "kubernetes"), ("kube", "kubernetes")], "alias string, canonical string")
+    found = match.covered_terms(wanted, match.terms_of(cvs, "cv", "text"), aliases, "cv", fuzzy=False)
+    assert {tuple(r) for r in found.collect()} == {(7, "python", "exact"), (7, "k8s", "alias"), (7, "rust", "exact")}
+    names = match.expanded(wanted.select("term").distinct(), aliases)
+    assert {r.name for r in names.where("term = 'k8s'").collect()} == {"k8s", "kube", "kubernetes"} and {r.name for r in names.where("term = 'go'").collect()} == {"go"}
+    gaps = match.keyword_gaps(wanted, found, offers.where("text is not null"), cvs.where("text is not null"), "offer", "cv", "text", most=1)
+    # "go" stands twice in the offer, so it comes before "kafka".
+    assert [(r.cv, r.offer, r.term, r.n, r.status, r.rank_no) for r in gaps.collect()] == [(7, 1, "go", 2, "missing", 1)]
+
+
+def test_token_sets():
+    import difflib
+
+    share = match.token_set_share
+    assert share("senior data engineer", "data engineer") == 100 and share("b a", "a b") == 100 and share("", "a") == share("a", " ") == 0
+    assert share("Data Engineer", "data engineer") < 85 <= share("data enginer", "data engineer")
+    rnd = random.Random(2)
+
+    def slow(x, y):
+        row = [0] * (len(y) + 1)
+        for a in x:
+            last = 0
+            for k, b in enumerate(y, 1):
+                last, row[k] = row[k], last + 1 if a == b else max(row[k], row[k - 1])
+        return row[-1]
+
+    for _ in range(200):
+        x, y = ("".join(rnd.choice("abcé ") for _ in range(rnd.randint(0, 90))) for _ in range(2))
+        assert match.common_length(x, y) == slow(x, y) and abs(share(x, y) - share(y, x)) < 1e-9
+        assert match.common_length(x, y) >= sum(b.size for b in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+
+
+def test_token_set_column(spark):
+    df = spark.createDataFrame([("a b", "b a"), (None, "x"), ("x" * 5000, "x" * 4999)], "x string, y string")
+    assert [None if v is None else round(v, 2) for v, in df.select(match.token_set_ratio(F.col("x"), F.col("y"))).collect()] == [100.0, None, 99.99]
 
 
 def test_all_offers_and_cvs(spark):
