@@ -94,3 +94,39 @@ def frequency(term: Column, text: Column) -> Column:
         return F.when(t == "  ", 0).otherwise(((F.length(_spaced(text)) - F.length(F.replace(_spaced(text), t, F.lit("")))) / F.length(t)).cast("int"))
 
     return let(_spaced(term), count)
+
+
+def requirement_terms(offers: DataFrame, key: str, text: str, phrases: list[str], most: int = 20) -> DataFrame:
+    """``key, term, rank_no``: phrases that an offer holds, in the order given, then its most frequent words, ``most`` in all.
+
+    Words of a phrase that was found and stop words are left out; ties go to
+    the word that stands first.
+    """
+    held = F.filter(F.lit(phrases), lambda p: F.lower(F.col(text)).contains(p)) if phrases else F.array().cast("array<string>")
+    base = offers.where(F.col(text).isNotNull()).select(key, held.alias("held"), F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}][\p{L}.#+-]{2,}"), 0).alias("words"))
+    taken = F.flatten(F.transform("held", lambda p: F.split(p, r"\s+")))
+    each = base.select(key, taken.alias("taken"), F.posexplode("words").alias("pos", "term")).where(~F.col("term").isin(*STOPWORDS) & ~F.array_contains("taken", F.col("term")))
+    counts = each.groupBy(key, "term").agg(F.count("*").alias("n"), F.min("pos").alias("pos")).select(key, "term", F.lit(1).alias("kind"), (-F.col("n")).alias("less"), "pos")
+    first = base.select(key, F.posexplode("held").alias("pos", "term")).select(key, "term", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("less"), "pos")
+    order = Window.partitionBy(key).orderBy("kind", "less", "pos")
+    return first.unionByName(counts).withColumn("rank_no", F.row_number().over(order)).where(F.col("rank_no") <= most).select(key, "term", "rank_no")
+
+
+def questions(bank: DataFrame, family: str, kind: str) -> DataFrame:
+    """Rows of a bank of questions for a family of roles and a kind, whatever their case; rows without a text are left out."""
+    if kind.lower().strip() not in KINDS:
+        raise ValueError(f"kind must be one of {KINDS}")
+    same = lambda c, x: F.lower(F.trim(c)) == x.lower().strip()
+    return bank.where(same("family", family) & same("kind", kind) & (F.col("text") != ""))
+
+
+#: Kinds of interview questions; levels in order.
+KINDS = ("behavioral", "technical", "case")
+LADDER = ("junior", "mid", "senior", "lead")
+
+
+def level_distance(a: Column, b: Column, ladder: tuple[str, ...] = LADDER) -> Column:
+    """Steps between two levels; an unknown level stands at 99, so two unknown ones are 0 apart."""
+    names = F.lit(list(ladder))
+    at = lambda c: F.when(F.array_position(names, c) > 0, F.array_position(names, c) - 1).otherwise(99)
+    return F.abs(at(a) - at(b)).cast("int")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobweave.plans import core_queries, cv_queries, offer_queries, provider_queries, reference_queries
+from jobweave.plans import core_queries, cv_queries, offer_queries, people_queries, provider_queries, reference_queries
 
-MODULES = (core_queries, reference_queries, cv_queries, offer_queries, provider_queries)
+MODULES = (core_queries, reference_queries, cv_queries, offer_queries, provider_queries, people_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

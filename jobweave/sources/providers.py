@@ -286,3 +286,20 @@ def first_items(postings: DataFrame, n: int | None) -> DataFrame:
         return postings
     order = Window.partitionBy("source").orderBy("source_id", "url")
     return postings.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).drop("__n")
+
+
+def fan_out(answers: DataFrame, boards: DataFrame, per_board: int | None = None) -> DataFrame:
+    """POSTING and ``board`` of the answers (``source, board, payload``) of listed boards (``source, board, company``).
+
+    A board's company names the employer of its postings. Boards without a name
+    and sources without a normaliser add nothing; with ``per_board``, the first
+    postings of each board by id.
+    """
+    listed = boards.where((F.col("board") != "") & F.col("source").isin(list(SPECS))).dropDuplicates(["source", "board"])
+    known = answers.join(listed.select("source", "board", "company"), ["source", "board"])
+    parts = [normalise(known.where(F.col("source") == name), name, "board", company=F.col("company")) for name in sorted(SPECS)]
+    found = union_all(parts)
+    if per_board is None:
+        return found
+    order = Window.partitionBy("source", "board").orderBy("source_id", "url")
+    return found.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_board).drop("__n")

@@ -39,3 +39,29 @@ def append_valid(df: DataFrame, required: list[str], path: str) -> DataFrame:
         filled = filled & (F.trim(F.coalesce(F.col(c), F.lit(""))) != "")
     df.where(filled).write.mode("append").parquet(path)
     return df.where(~filled)
+
+
+#: What is kept with a record of a person.
+PERSONAL, YEARS_KEPT = True, 3
+
+
+def store_people(df: DataFrame, path: str) -> None:
+    """Appends records of people, marked as personal data with the years they may be kept; repeats stay."""
+    df.withColumns({"pii": F.lit(PERSONAL), "retention_max_years": F.lit(YEARS_KEPT)}).write.mode("append").parquet(path)
+
+
+def queue(df: DataFrame, path: str, key: str = "job_id", status: str = "prepared") -> None:
+    """Appends items with their status; ``current`` by ``key`` gives each item's last state."""
+    upsert(df.withColumn("status", F.lit(status)) if "status" not in df.columns else df, path)
+
+
+def within(root: str, path: str) -> str:
+    """``path`` under ``root``; one that leads out of it is an error. Absolute paths and addresses stay."""
+    import posixpath
+
+    if path.startswith("/") or "://" in path:
+        return path
+    full = posixpath.normpath(posixpath.join(root, path))
+    if full != root.rstrip("/") and not full.startswith(root.rstrip("/") + "/"):
+        raise ValueError(f"{path} leads out of {root}")
+    return full

@@ -105,3 +105,51 @@ def test_board_names_the_employer(spark):
     with pytest.raises(ValueError):
         providers.search_all({"nobody": pages})
     assert providers.search_all({"smartrecruiters": pages}, per_source=1).count() == 1
+
+
+def test_people(spark):
+    from jobweave.operators import people
+
+    df = spark.createDataFrame([("Jane Doe\nTalent Acquisition Partner\nAcme\njane@acme.example\nhttps://linkedin.com/in/jd",), ("",), (None,)], "t string")
+    got = df.select(*(c.alias(k) for k, c in people.writer(F.col("t")).items())).collect()
+    assert got[0][:] == ("Jane Doe", "Talent Acquisition Partner", "Acme", "in_house", "https://linkedin.com/in/jd") and got[1].kind == "unknown" and got[1].name is None
+    known = spark.createDataFrame([(1, "Acme Ltd", "friend", 2), (2, "ACME", "mentor", 1), (3, None, "friend", 1), (4, "", "friend", 1)], "i int, employer string, relation string, hops int")
+    paths = people.warm_paths(spark.createDataFrame([("acme",), (None,)], "target string"), known, "target", "employer", "relation", "hops")
+    assert [(r.i, r.value) for r in paths.orderBy("rank_no").collect()] == [(2, 0.95), (1, 0.5)]
+    form = people.filled_form({"email": F.lit(" "), "full_name": F.lit("X"), "password": F.lit("p")})
+    row = spark.range(1).select(form["fields"].alias("f"), form["unmapped"].alias("u")).first()
+    assert row.f == {"full_name": "X"} and row.u == [k for k in people.FORM if k != "full_name"]
+
+
+def test_layout(spark):
+    from jobweave.operators import layout
+
+    pages = [[10.0, 20.0], [10.0, 12.0, 590.0], [10.0, 20.0, 400.0, 410.0, 300.0], [], None]
+    df = spark.createDataFrame([(p,) for p in pages], "xs array<double>")
+    assert [r.c for r in df.select(layout.columns(F.col("xs"), F.lit(600.0)).alias("c")).collect()] == [1, 2, 2, 1, 1]
+    chars = spark.createDataFrame([(3.0, None), (10.0, [1.0]), (10.0, [1.0, 0.2, 1.0]), (10.0, [0.0, 0.0, 0.0, 0.0]), (None, None), (10.0, [])], "size double, colour array<double>")
+    assert [r.h for r in chars.select(layout.hidden(F.col("size"), F.col("colour")).alias("h")).collect()] == [True, True, False, True, False, False]
+
+
+def test_files(spark, tmp_path):
+    import zipfile
+
+    from jobweave.sources import files, sinks
+
+    (tmp_path / "a.txt").write_bytes("é".encode() + b"\xff")
+    (tmp_path / "b.pdf").write_bytes(b"x")
+    (tmp_path / "c.docx").write_bytes(b"no zip")
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    cell = lambda t: f"<w:tc><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+    with zipfile.ZipFile(tmp_path / "d.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body><w:p><w:r><w:t>One</w:t></w:r></w:p><w:tbl><w:tr>{cell('a')}{cell('b')}</w:tr></w:tbl></w:body></w:document>")
+    got = {r.path[-6:]: (r.text, bool(r.fault)) for r in files.read_texts(spark, str(tmp_path)).collect()}
+    assert got == {"/a.txt": ("é�", False), "/b.pdf": (None, True), "c.docx": (None, True), "d.docx": ("One\na\tb", False)}
+    assert sinks.within("/r", "a/../b") == "/r/b" and sinks.within("/r", "/x") == "/x"
+    with pytest.raises(ValueError):
+        sinks.within("/r", "../x")
+    sinks.store_people(spark.createDataFrame([("x",)], "name string"), str(tmp_path / "p"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "p")).collect()] == [("x", True, 3)]
+    sinks.queue(spark.createDataFrame([(1,), (2,)], "job_id int"), str(tmp_path / "q"))
+    sinks.queue(spark.createDataFrame([(1, "sent")], "job_id int, status string"), str(tmp_path / "q"))
+    assert {(r.job_id, r.status) for r in sinks.current(spark, str(tmp_path / "q"), "job_id").collect()} == {(1, "sent"), (2, "prepared")}
