@@ -166,3 +166,12 @@ def best_evidence(lines_: DataFrame, key: str, terms: list[str], most: int = 4)
     shared = F.size(F.array_intersect(words, F.lit([t.lower() for t in terms])))
     order = Window.partitionBy(key).orderBy(F.desc("shared"), "origin", "no")
     return lines_.withColumn("shared", shared).where("shared > 0").withColumn("rank_no", F.row_number().over(order)).where(F.col("rank_no") <= most)
+
+
+def flat_text(cvs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, text``: contact fields, summary, highlights and skills of each CV as one text, in this order, one piece a line."""
+    own = evidence(cvs, key, text)
+    pieces = F.array_sort(F.collect_list(F.struct("origin", "no", "line")))
+    of = lambda origin: F.array_join(F.transform(F.filter(pieces, lambda x: x["origin"] == origin), lambda x: x["line"]), "\n")
+    parts = own.groupBy(key).agg(*(F.nullif(of(o), F.lit("")).alias(o) for o in ("summary", "highlight", "skill")))
+    return basics(cvs.where(F.col(text).isNotNull()), key, text).join(parts, key, "left").select(key, F.concat_ws("\n", "name", "email", "phone", "summary", "highlight", "skill").alias("text"))

@@ -106,6 +106,38 @@ def dedupe(postings: DataFrame, order: str = "posting_id") -> DataFrame:
     return postings.join(kept(postings.select(order, *dedupe_columns(postings)), order), order, "left_semi")
 
 
+def duplicate_links(keyed: DataFrame, order: str, days: int = BAND_DAYS) -> DataFrame:
+    """``order, __key, links``: for each row of a table with ``__key`` and ``__dt``, how many other rows of its key lie within the band.
+
+    Rows without a date are within any band. Rows of one key and date are
+    counted first; a range of dates sums the counts, so no pairs are made,
+    however many rows share a key.
+    """
+    counts = keyed.groupBy("__key", "__dt").agg(F.count("*").alias("n"))
+    near = Window.partitionBy("__key").orderBy(F.datediff("__dt", F.lit("1970-01-01").cast("date"))).rangeBetween(-days, days)
+    all_ = Window.partitionBy("__key")
+    undated = F.sum(F.when(F.col("__dt").isNull(), F.col("n")).otherwise(0)).over(all_)
+    total = F.when(F.col("__dt").isNull(), F.sum("n").over(all_)).otherwise(F.sum(F.when(F.col("__dt").isNotNull(), F.col("n")).otherwise(0)).over(near) + undated)
+    linked = counts.select(F.col("__key").alias("k"), F.col("__dt").alias("dt"), (total - 1).alias("links"))
+    return keyed.join(linked, (F.col("__key") == F.col("k")) & F.col("__dt").eqNullSafe(F.col("dt"))).select(order, "__key", "links")
+
+
+def company_brief(postings: DataFrame, order: str = "posting_id", titles: int = 3, tags: int = 8) -> DataFrame:
+    """``company, titles, tags``: a company's first titles, and its first different tags in the order in which they are seen.
+
+    Only as many rows as are shown reach one row.
+    """
+    named = postings.where(F.col("company").isNotNull())
+    top = lambda df, n, by: df.withColumn("r", F.row_number().over(Window.partitionBy("company").orderBy(*by))).where(F.col("r") <= n)
+    listed = lambda df, c: df.groupBy("company").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", c))), lambda x: x[c]).alias(f"{c}s"))
+    first = listed(top(named.select("company", order, "title").where(F.col("title").isNotNull()), titles, [order]), "title")
+    each = named.select("company", F.col(order).alias("o"), F.posexplode("tags").alias("pos", "tag"))
+    seen = each.groupBy("company", "tag").agg(F.min(F.struct("o", "pos")).alias("first"))
+    some = listed(top(seen, tags, ["first", "tag"]), "tag")
+    none = F.array().cast("array<string>")
+    return first.join(some, "company", "full").select("company", F.coalesce("titles", none).alias("titles"), F.coalesce("tags", none).alias("tags"))
+
+
 def matches_any(terms: list[str], *fields: str) -> Column:
     """Any term occurs in the joined lower-cased fields; no terms match everything."""
     text = F.lower(F.concat_ws(" ", *fields))

@@ -398,3 +398,13 @@ def pr34_evidence(spark, d):
 (SELECT *, len(list_intersect(list_distinct(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}+#]{{2,}}')), {_list(_TERMS)})) AS shared FROM {_EVIDENCE}) WHERE shared > 0) WHERE rank_no <= 4""")
 def t4_best_evidence(spark, d):
     return cv.best_evidence(cv.evidence(_told(spark, d), "cv_id", "raw_text"), "cv_id", _TERMS)
+
+
+def _of(origin: str) -> str:
+    return f"nullif(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE origin = '{origin}'), '')"
+
+
+@query(f"""WITH e AS (SELECT cv_id, {_of('summary')} AS summary, {_of('highlight')} AS highlight, {_of('skill')} AS skill FROM {_EVIDENCE} GROUP BY cv_id)
+SELECT cv_id, concat_ws(chr(10), name, email, phone, summary, highlight, skill) AS text FROM ({ORACLE['pr37_basics']}) LEFT JOIN e USING (cv_id)""")
+def pr35_flat_text(spark, d):
+    return cv.flat_text(_told(spark, d), "cv_id", "raw_text")

@@ -95,13 +95,23 @@ def f01_keyword_filter(spark, d):
     return _postings(spark, d, market.matches_any(["senior", "Kotlin"], "title", "description").alias("hit")).where("hit").select("posting_id")
 
 
-@query(f"""SELECT a.posting_id AS id_a, b.posting_id AS id_b FROM (SELECT posting_id, {_KEY} AS k, {_DATE} AS dt FROM {_LATEST}) a
-JOIN (SELECT posting_id, {_KEY} AS k, {_DATE} AS dt FROM {_LATEST}) b ON a.k = b.k AND a.posting_id < b.posting_id
-WHERE coalesce(abs(date_diff('day', a.dt, b.dt)) <= 14, true)""")
+_KEYED = f"(SELECT posting_id, {_KEY} AS k, {_DATE} AS dt FROM {_LATEST})"
+
+
+@query(f"""SELECT a.posting_id, any_value(a.k) AS class_id, count(b.posting_id) AS links FROM {_KEYED} a LEFT JOIN {_KEYED} b
+ON a.k = b.k AND a.posting_id <> b.posting_id AND coalesce(abs(date_diff('day', a.dt, b.dt)) <= 14, true) GROUP BY a.posting_id""")
 def j08_band_join(spark, d):
-    p = _postings(spark, d, market.blocking_key(F.col("company"), F.col("location"), F.col("title")).alias("k"), market.iso_date(F.col("date_posted")).alias("dt"))
-    a, b = p.select(F.col("posting_id").alias("id_a"), "k", F.col("dt").alias("dt_a")), p.select(F.col("posting_id").alias("id_b"), "k", F.col("dt").alias("dt_b"))
-    return a.join(b, "k").where((F.col("id_a") < F.col("id_b")) & market.within_band(F.col("dt_a"), F.col("dt_b"))).select("id_a", "id_b")
+    """Duplicate postings as a class and a number of links for each; pairs would grow with the square of a key's rows."""
+    p = _postings(spark, d, *market.dedupe_columns(_all(spark, d))[:2])
+    return market.duplicate_links(p, "posting_id").select("posting_id", F.col("__key").alias("class_id"), "links")
+
+
+@query(f"""WITH p AS {_LATEST}, t AS (SELECT company, list(title ORDER BY posting_id)[1:3] AS titles FROM p WHERE company IS NOT NULL AND title IS NOT NULL GROUP BY company),
+e AS (SELECT company, posting_id, n, tags[n] AS tag FROM (SELECT company, posting_id, tags, unnest(generate_series(1, len(tags))) AS n FROM p WHERE company IS NOT NULL)),
+f AS (SELECT company, tag, min((posting_id, n)) AS first FROM e GROUP BY company, tag), g AS (SELECT company, list(tag ORDER BY first, tag)[1:8] AS tags FROM f GROUP BY company)
+SELECT company, coalesce(titles, []::VARCHAR[]) AS titles, coalesce(tags, []::VARCHAR[]) AS tags FROM t FULL JOIN g USING (company)""")
+def pr32_company_brief(spark, d):
+    return market.company_brief(_postings(spark, d, "company", "title", "tags"))
 
 
 @query(f"""SELECT posting_id, source, rank_no FROM (SELECT posting_id, source, row_number() OVER (PARTITION BY source ORDER BY date_posted DESC NULLS LAST, posting_id)

@@ -68,6 +68,16 @@ def test_nearest_is_the_nearest(spark):
         assert r.approximate == ((options[0][0] or options[0][1] != 0) if options else None)
 
 
+def test_links_are_counted_as_pairs_would_be(spark):
+    rnd = random.Random(9)
+    base = datetime.date(2026, 1, 1)
+    rows = [(n, rnd.choice("ab"), None if rnd.random() < 0.1 else base + datetime.timedelta(rnd.randint(0, 60))) for n in range(80)] + [(99, None, base), (98, "lone", None)]
+    near = lambda a, b: a is None or b is None or abs((a - b).days) <= 14
+    want = {i: sum(j != i and l == k and near(d, e) for j, l, e in rows) for i, k, d in rows if k is not None}
+    got = market.duplicate_links(spark.createDataFrame(rows, "i int, __key string, __dt date"), "i").collect()
+    assert {r.i: r.links for r in got} == want and len(got) == len(want)
+
+
 def test_latest_reads_what_is_asked_for(spark):
     from jobweave.plans import reference_queries
 
