@@ -195,8 +195,10 @@ def path_triples(df: DataFrame, payload: str, keys: Iterable[str], wanted: Itera
             rows = [(*head, *triple) for head, text in zip(pdf[keys].itertuples(index=False, name=None), pdf[payload]) for triple in stream_triples(text, want, rep)]
             yield pd.DataFrame(rows, columns=[*keys, "path", "ordinals", "value"])
 
-    schema = T.StructType([f for f in df.select(*keys).schema] + T._parse_datatype_string(TRIPLE).fields)
-    return df.where(F.col(payload).isNotNull()).select(*keys, payload).mapInPandas(run, schema)
+    # Keys travel as texts: beside a null, whole numbers would become inexact ones.
+    schema = T.StructType([T.StructField(k, T.StringType()) for k in keys] + T._parse_datatype_string(TRIPLE).fields)
+    rows = df.where(F.col(payload).isNotNull()).select(*(F.col(k).cast("string").alias(k) for k in keys), payload).mapInPandas(run, schema)
+    return rows.select(*(F.col(k).cast(df.schema[k].dataType).alias(k) for k in keys), "path", "ordinals", "value")
 
 
 def pivot_groups(triples: DataFrame, keys: Iterable[str], groups: dict[str, list[str]]) -> DataFrame:

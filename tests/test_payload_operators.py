@@ -139,3 +139,8 @@ def test_events_of_odd_texts():
     deep = "[" * 20_000 + "7" + "]" * 20_000
     assert stream_triples(deep, frozenset(), frozenset()) == [("", [0] * 20_000, "7")]
     assert stream_triples('{"x": {"a": [[', frozenset({"b"}), frozenset()) == []
+
+
+def test_large_keys_beside_nulls(spark):
+    df = spark.createDataFrame([(2**62 + 1, '{"a": [1]}'), (None, '{"a": [2]}')], "k bigint, payload string")
+    assert {(r.k, r.value) for r in path_triples(df, "payload", ["k"]).collect()} == {(2**62 + 1, "1"), (None, "2")}
