@@ -283,21 +283,34 @@ def _permute_nino(chars: str, key: bytes, back: bool) -> str:
     return f"{prefixes[n // 1_000_000]}{n % 1_000_000:06d}{NINO_LAST[last]}"
 
 
+def _id_kind(chars: str) -> str:
+    """The kind of an identity number without its spaces and signs."""
+    if len(chars) in (13, 15) and NIR.fullmatch(chars):
+        return "nir"
+    if len(chars) == 9 and NINO.fullmatch(chars) and chars[:2] not in NINO_NEVER and chars[0] in NINO_FIRST and chars[1] in NINO_SECOND:
+        return "nino"
+    return "other"
+
+
 def permute_id(value: str, key: bytes, back: bool = False) -> str:
     """An identity number to another one of its kind, in the same format; ``back`` inverts it.
 
     A value is read without its spaces and signs and in upper case, so all
     written forms of a number stay linked. Numbers of French social security
     and of national insurance keep to what their fields may hold; all others
-    (American numbers, passports, cards) keep letters as letters and digits as digits.
+    (American numbers, passports, cards) keep letters as letters and digits as
+    digits, and don't become one of the former.
     """
     chars = "".join(c for c in value.upper() if c in _LETTERS or c in "0123456789")
-    if len(chars) in (13, 15) and NIR.fullmatch(chars):
+    kind = _id_kind(chars)
+    if kind == "nir":
         new = _permute_nir(chars, key, back)
-    elif len(chars) == 9 and NINO.fullmatch(chars) and chars[:2] not in NINO_NEVER and chars[0] in NINO_FIRST and chars[1] in NINO_SECOND:
+    elif kind == "nino":
         new = _permute_nino(chars, key, back)
     else:
         new = _permute_mixed(chars, key, f"id{len(chars)}", back)
+        while chars and _id_kind(new) != "other":
+            new = _permute_mixed(new, key, f"id{len(chars)}", back)
     # Other signs than letters and digits of the Latin alphabet stay where they are.
     fill = iter(new)
     return "".join((lambda x: x.lower() if c.islower() else x)(next(fill)) if c.upper() in _LETTERS or c in "0123456789" else c for c in value)
@@ -384,8 +397,10 @@ def replace_personal_data(cv_parse: DataFrame, cv_sections: DataFrame, key: str)
             found = [[{"kind": k, "value": v, "pseudonym": p} for k, v, p in f] for _, f in done]
             yield pd.DataFrame({"cv_id": pdf["cv_id"], "section_no": pdf["section_no"], "text": [t for t, _ in done], "found": found})
 
-    schema = "cv_id bigint, section_no int, text string, found array<struct<kind:string,value:string,pseudonym:string>>"
-    return _texts(cv_parse, cv_sections).mapInPandas(run, schema)
+    # Ids travel as texts: beside a null, whole numbers would become inexact ones.
+    schema = "cv_id string, section_no int, text string, found array<struct<kind:string,value:string,pseudonym:string>>"
+    rows = _texts(cv_parse, cv_sections).withColumn("cv_id", F.col("cv_id").cast("string")).mapInPandas(run, schema)
+    return rows.withColumn("cv_id", F.col("cv_id").cast("bigint"))
 
 
 def find_personal_data(cv_parse: DataFrame, cv_sections: DataFrame, key: str = "") -> DataFrame:

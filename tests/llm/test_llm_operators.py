@@ -130,6 +130,8 @@ def test_pseudonyms_stay_in_their_format():
         spaced = f"{valid[0]} {valid[1:3]} {valid[3:5]} {valid[5:7]} {valid[7:10]} {valid[10:13]} {valid[13:]}"
         assert privacy.permute_id(head, key) == new[:13] and privacy.permute_id(spaced, key).replace(" ", "") == new
         assert privacy.permute_id(new, key, back=True) == valid
+    odd = [f"BG{n:06d}A" for n in range(300)] + [f"{n:09d}" for n in range(300)]
+    assert len({privacy.permute_id(v, key) for v in odd}) == 600 and all(privacy.permute_id(privacy.permute_id(v, key), key, back=True) == v for v in odd)
     for value in ("AB 12 34 56 C", "906-05-0275", "X07516437", "62ZX53166", "qq123456c", "BG123456A"):
         new = privacy.permute_id(value, key)
         assert new != value and privacy.permute_id(new, key, back=True) == value
@@ -142,8 +144,9 @@ def test_pseudonyms_stay_in_their_format():
 def test_personal_data_tables(spark):
     cv = spark.createDataFrame([(1, CV, "z"), (1, CV, "z"), (2, None, "z"), (3, "", "z")], "cv_id bigint, raw_text string, value string")
     sections = spark.createDataFrame([(1, 2, "a@b.example"), (1, 2, "a@b.example"), (None, 1, "Tél. 0353017728")], "cv_id bigint, section_no int, text string")
-    got = [tuple(r) for r in privacy.find_personal_data(cv, sections).collect()]
-    assert len(got) == len(set(got)) == 14 and (1, 2, "email", "a@b.example") in got and (None, 1, "phone", "0353017728") in got
+    sections = sections.unionByName(spark.createDataFrame([(2**62 + 1, 1, "c@d.example")], sections.schema))
+    got = [tuple(r)[:4] for r in privacy.find_personal_data(cv, sections, "k").collect()]
+    assert len(got) == len(set(got)) == 15 and (2**62 + 1, 1, "email", "c@d.example") in got and (1, 2, "email", "a@b.example") in got and (None, 1, "phone", "0353017728") in got
 
 
 # --- 5 history, 6 linkage
