@@ -237,9 +237,10 @@ def learnt_entries(sections: DataFrame, catalogue: DataFrame, forms: DataFrame,
             judged = [model.judge(t) for t in pdf["text"]]
             yield pdf[["cv_id", "section_no", "r"]].assign(name=[n for n, _ in judged], sure=[p for _, p in judged])
 
-    kinds = ", ".join(f"{c} {told.schema[c].dataType.simpleString()}" for c in ("cv_id", "section_no"))
-    rest = told.join(forms.where(F.col("l") != ""), "raw_heading").select("cv_id", "section_no", F.col("l").alias("r"), "text")
-    votes = rest.mapInPandas(run, f"{kinds}, r string, name string, sure double").groupBy("r", "cv_id", "section_no").agg(F.max_by(F.struct("name", "sure"), F.struct("sure", "name")).alias("v"))
+    # Ids travel as texts: beside a null, whole numbers would become inexact ones.
+    ids = [F.col(c).cast("string").alias(c) for c in ("cv_id", "section_no")]
+    rest = told.join(forms.where(F.col("l") != ""), "raw_heading").select(*ids, F.col("l").alias("r"), "text")
+    votes = rest.mapInPandas(run, "cv_id string, section_no string, r string, name string, sure double").groupBy("r", "cv_id", "section_no").agg(F.max_by(F.struct("name", "sure"), F.struct("sure", "name")).alias("v"))
     each = votes.groupBy("r", F.col("v.name").alias("name")).agg(F.sum("v.sure").alias("sure"), F.count("*").alias("n"))
     whole = each.groupBy("r").agg(F.max_by(F.struct("name", "sure"), F.struct("sure", "name")).alias("best"), F.sum("n").alias("n"))
     return whole.where((F.col("n") >= LEAST_SECTIONS) & (F.col("best.sure") >= LEAST_SURE * F.col("n"))).select("r", "best.name")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.llm.linkage import facts_of
-from jobweave.session import checkpoint, shared_folder
+from jobweave.session import checkpoint, remove, shared_folder
 
 #: Share of the shorter text's bytes in shared chunks that makes two records near-duplicates.
 COVERAGE = 0.3
@@ -171,6 +171,12 @@ def repeated_postings(history: DataFrame, new: DataFrame, path: str | None = Non
     out; a row delivered again counts once; nulls elsewhere say nothing; empty
     tables give an empty result. Texts without words share nothing.
     """
-    table = ChunkTable(history.sparkSession, path or f"{shared_folder(history.sparkSession)}/chunks-{uuid.uuid4().hex}")
+    spark = history.sparkSession
+    place = path or f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    table = ChunkTable(spark, place)
     table.append(history)
-    return table.check(new)
+    found = table.check(new)
+    if path is None:
+        # The result is a checkpoint of its own.
+        remove(spark, place)
+    return found

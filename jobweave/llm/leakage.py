@@ -233,10 +233,11 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
             found = search.search([passage_words(t) for t in pdf["text"]])
             yield pd.DataFrame([(ids[d], *rest) for d, *rest in found], columns=["doc_id", "item_id", "words", "kept", "longest", "length"])
 
-    id_type = documents.schema["doc_id"].dataType.simpleString()
+    # Ids travel as texts: beside a null, whole numbers would become inexact ones.
     item_type = items.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, item_id {item_type}, words int, kept int, longest int, length int"
-    found = documents.where(F.col("text").isNotNull()).select("doc_id", "text").mapInPandas(run, schema)
+    schema = f"doc_id string, item_id {item_type}, words int, kept int, longest int, length int"
+    found = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, schema)
+    found = found.withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType))
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("kept", "words", "longest")).alias("b")).select("doc_id", "item_id", "b.words", "b.kept", "b.longest")
 
 

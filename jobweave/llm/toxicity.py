@@ -303,8 +303,10 @@ def score(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
             scores = [scorer.text(t) for t in pdf["text"]]
             yield pdf[["doc_id", "source"]].assign(score=scores, abusive=[s is not None and s >= scorer.threshold for s in scores])
 
-    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, source string, score double, abusive boolean"
-    return documents.select("doc_id", F.col("source").cast("string").alias("source"), "text").mapInPandas(run, schema)
+    # Ids travel as texts: beside a null, whole numbers would become inexact ones.
+    texts = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    scored = texts.mapInPandas(run, "doc_id string, source string, score double, abusive boolean")
+    return scored.withColumn("doc_id", F.col("doc_id").cast(documents.schema["doc_id"].dataType))
 
 
 def rates(scored: DataFrame) -> DataFrame:
