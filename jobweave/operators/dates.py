@@ -78,11 +78,11 @@ def year_only(text: Column) -> Column:
 def bad_form(text: Column, forms: Column) -> Column:
     """The first of ``forms`` (an array of names of FORMS, others say nothing) that a text uses, or null."""
     low = fold(text)
-    uses = F.lit(None).cast("boolean")
-    def has(form: Column) -> Column:
-        test = uses
+
+    def used(form: Column) -> Column:
+        test = F.lit(False)
         for name, pattern in FORMS.items():
             test = F.when(form == name, low.rlike(pattern)).otherwise(test)
         return F.coalesce(test, F.lit(False))
 
-    return F.try_element_at(F.filter(forms, has), F.lit(1))
+    return F.try_element_at(F.filter(forms, used), F.lit(1))

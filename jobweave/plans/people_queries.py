@@ -81,8 +81,9 @@ def t8_warm_paths(spark, d):
 _CUSTOMER = "(SELECT c_custkey, nullif(CASE WHEN c_custkey % 3 > 0 THEN c_name END, '') AS n, CASE WHEN c_custkey % 5 > 0 THEN c_custkey || '@mail.example' END AS e, c_mktsegment AS c FROM customer)"
 
 
-@query(f"""SELECT c_custkey, map_keys(m) AS told, map_values(m) AS answers, list_filter([CASE WHEN n IS NULL THEN 'full_name' END, CASE WHEN e IS NULL THEN 'email' END, 'phone', 'linkedin', CASE WHEN c IS NULL THEN 'current_company' END, 'current_title', 'location'],
-lambda x: x IS NOT NULL) AS unmapped FROM (SELECT *, map_from_entries(list_filter([(k := 'full_name', v := n), (k := 'email', v := e), (k := 'current_company', v := c)], lambda x: x.v IS NOT NULL)) AS m FROM {_CUSTOMER})""".replace("(k := 'full_name', v := n), (k := 'email', v := e), (k := 'current_company', v := c)", "{'k': 'full_name', 'v': n}, {'k': 'email', 'v': e}, {'k': 'current_company', 'v': c}"))
+@query(f"""SELECT c_custkey, list_transform(told, lambda x: x.k) AS told, list_transform(told, lambda x: x.v) AS answers, list_filter([CASE WHEN n IS NULL THEN 'full_name' END, CASE WHEN e IS NULL THEN 'email' END,
+'phone', 'linkedin', CASE WHEN c IS NULL THEN 'current_company' END, 'current_title', 'location'], lambda x: x IS NOT NULL) AS unmapped
+FROM (SELECT *, list_filter([{{'k': 'full_name', 'v': n}}, {{'k': 'email', 'v': e}}, {{'k': 'current_company', 'v': c}}], lambda x: x.v IS NOT NULL) AS told FROM {_CUSTOMER})""")
 def pr02_filled_form(spark, d):
     i = F.col("c_custkey")
     values = {"full_name": F.when(i % 3 > 0, F.col("c_name")), "email": F.when(i % 5 > 0, F.concat(i.cast("string"), F.lit("@mail.example"))), "current_company": F.col("c_mktsegment"), "iban": F.lit("never")}
@@ -157,6 +158,7 @@ def j05_level_distance(spark, d):
 # --- boards
 
 _BOARDED = ("ashby", "lever")
+_WANTED = ", ".join(WANTED)
 _BOARDS = "(SELECT DISTINCT source, board, upper(board) AS company FROM provider_pages WHERE source IN ('ashby', 'lever') AND board <> '')"
 
 
@@ -170,7 +172,7 @@ def _boarded_sql(name: str) -> str:
     return f"SELECT board, {', '.join(WANTED)} FROM ({inner})"
 
 
-@query(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, board ORDER BY source_id, url) AS rank_no FROM ({' UNION ALL '.join(map(_boarded_sql, _BOARDED))})) WHERE rank_no <= 3".replace("SELECT * FROM", f"SELECT board, {', '.join(WANTED)} FROM", 1))
+@query(f"SELECT board, {_WANTED} FROM (SELECT *, row_number() OVER (PARTITION BY source, board ORDER BY source_id, url) AS rank_no FROM ({' UNION ALL '.join(map(_boarded_sql, _BOARDED))})) WHERE rank_no <= 3")
 def u02_boards(spark, d):
     """All boards with a name; the first three postings of each."""
     pages = table(spark, d, "provider_pages", "page_id", "source", "board", "payload").where(F.col("source").isin(*_BOARDED))
