@@ -143,8 +143,10 @@ def synonyms(spark: SparkSession) -> DataFrame:
 
 
 def phrases_of(cvs: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
-    """``key, term``: names of skills in more than one word that a CV holds; ``aliases`` is small and fixed."""
-    rows = aliases.collect()
+    """``key, term``: names of skills in more than one word that a CV holds; ``aliases`` are at most DIMENSION_ROWS."""
+    rows = aliases.limit(DIMENSION_ROWS + 1).collect()
+    if len(rows) > DIMENSION_ROWS:
+        raise ValueError(f"more than {DIMENSION_ROWS} names")
     names = sorted({n for r in rows for n in r if " " in n})
     if not names:
         return cvs.select(key, F.lit("").alias("term")).limit(0)
