@@ -11,8 +11,9 @@ month where a source declares none.
 An answer's records are one row. A first pass finds the cheapest path through
 each answer and the state it ends in; then each answer with an open record goes
 through a second pass that starts from the end of the source's answer before
-it. The window that hands ends on holds readings only, and is cut by source and
-day of fetching, so no task sees all records of a source.
+it. Ends are handed on within slices of an hour of a source's fetches, and from
+slice to slice by a table with one row for each, so no task sees all records of
+a source.
 
 All of it is column arithmetic inside the JVM. Nothing depends on the session time zone.
 """
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobweave.session import epoch_seconds
+from jobweave.session import checkpoint, epoch_seconds
 from jobweave.sources.payloads import items
 from jobweave.text import fold, let, squeeze
 
@@ -56,6 +57,8 @@ FAR = 100.0  #: cost of a reading against the source's convention
 SWITCH = 1.0  #: cost of another format than the record before
 BACK = 0.25  #: cost of lying before the record before
 FUTURE = 20.0  #: cost of lying more than two days after the fetch
+#: Seconds of fetching within which ends are handed on row by row.
+SLICE = 3600
 
 
 @dataclass(frozen=True)
@@ -270,10 +273,16 @@ def posting_times(pages: DataFrame) -> DataFrame:
     alone = chains.select("page_id", "source", "fetched", read.alias("read")).withColumn("best", viterbi(F.col("read")))
     # Readings are needed again only where one is open; the others' paths are final.
     open_ = F.exists("read", lambda r: F.size(r) > 1)
-    narrow = alone.select("page_id", "source", "fetched", "best", F.when(open_, F.col("read")).alias("read"), F.floor(F.col("fetched") / 86400).alias("day"))
-    order = Window.partitionBy("source", "day").orderBy("fetched", "page_id")
-    before, page = F.lag("best.end").over(order), F.lag("page_id").over(order)
-    began = narrow.withColumn("handed", F.when(page.isNull() | (page != F.col("page_id")), F.struct(before.alias("end"))))
+    narrow = checkpoint(alone.select("page_id", "source", "fetched", "best", F.when(open_, F.col("read")).alias("read"), F.floor(F.col("fetched") / SLICE).alias("slice")))
+    end = F.when(F.col("best.end.sec").isNotNull(), F.col("best.end"))
+    slices = narrow.groupBy("source", "slice").agg(F.max_by(end, F.when(end.isNotNull(), F.struct("fetched", "page_id"))).alias("last"))
+    until = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select("source", "slice", F.last("last", ignorenulls=True).over(until).alias("slice_before"))
+    order = Window.partitionBy("source", "slice").orderBy("fetched", "page_id")
+    earlier = F.last(end, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    page = F.lag("page_id").over(order)
+    # An answer delivered again begins where its first delivery did.
+    began = narrow.join(slices, ["source", "slice"], "left").withColumn("handed", F.when(page.isNull() | (page != F.col("page_id")), F.struct(F.coalesce(earlier, F.col("slice_before")).alias("end"))))
     placed = began.withColumn("before", F.last("handed", ignorenulls=True).over(order)["end"])
     path = F.when(F.col("read").isNotNull() & F.col("before").isNotNull(), viterbi(F.col("read"), F.col("before"))["path"]).otherwise(F.col("best.path"))
     return (
