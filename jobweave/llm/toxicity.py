@@ -38,7 +38,7 @@ ORDER, DISCOUNT = 3, 0.75
 #: Words of a passage; longer sentences are cut into overlapping passages.
 PASSAGE = 16
 ROUNDS, FOLDS = 3, 4
-#: Trigrams whose scores a task keeps at hand; others are computed again.
+#: Trigrams whose scores, and words whose normal forms, a task keeps at hand; others are computed again.
 MEMO = 200_000
 
 #: Cyrillic and Greek letters and the Latin letters they are mistaken for.
@@ -100,13 +100,26 @@ def _word(token: str, first: bool) -> str:
     return token if not token[0].isdigit() else "#"
 
 
-def passages(text: str | None) -> list[tuple[str, ...]]:
-    """Passages of a text as tuples of normalised words; names and numbers are one word each."""
+def passages(text: str | None, memo: dict | None = None) -> list[tuple[str, ...]]:
+    """Passages of a text as tuples of normalised words; names and numbers are one word each.
+
+    ``memo`` keeps up to MEMO words as they were normalised, for the texts to come.
+    """
     if not text or not text.strip():
         return []
+    memo = {} if memo is None else memo
+
+    def word(token: str, first: bool) -> str:
+        found = memo.get((token, first))
+        if found is None:
+            found = _word(token, first)
+            if len(memo) < MEMO:
+                memo[token, first] = found
+        return found
+
     out = []
     for piece in _BREAK.split(undisguise(text)):
-        words = tuple(_word(t, n == 0) for n, t in enumerate(_TOKEN.findall(_TAG.sub(" ", piece).replace("'", " ").replace("’", " "))))
+        words = tuple(word(t, n == 0) for n, t in enumerate(_TOKEN.findall(_TAG.sub(" ", piece).replace("'", " ").replace("’", " "))))
         if len(words) > PASSAGE:
             out.extend(words[i : i + PASSAGE] for i in range(0, len(words) - PASSAGE // 2, PASSAGE // 2))
         elif words:
@@ -165,6 +178,7 @@ class Scorer:
         self.toxic, self.ordinary = KneserNey(toxic, base, 0.1 * unseen), KneserNey(ordinary, base, 0.1 * unseen)
         self.threshold = 0.0
         self.memo: dict[tuple[str, ...], float] = {}
+        self.words: dict[tuple[str, bool], str] = {}
 
     def trigram(self, gram: tuple[str, ...]) -> float:
         """Difference of the log-probabilities of a trigram's last word."""
@@ -184,10 +198,10 @@ class Scorer:
         return max((self.passage(w) * min(1.0, (len(w) + 1) / 4) for w in found), default=None)
 
     def text(self, text: str | None) -> float | None:
-        return self.worst(passages(text))
+        return self.worst(passages(text, self.words))
 
     def __getstate__(self):
-        return {**self.__dict__, "memo": {}}
+        return {**self.__dict__, "memo": {}, "words": {}}
 
 
 #: A labelled document: its passages and whether it is abusive.
@@ -269,8 +283,9 @@ def fit_tables(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
 
     def cut(batches):
+        memo: dict = {}
         for pdf in batches:
-            yield pdf[["abusive"]].assign(found=[[" ".join(p) for p in passages(t)] for t in pdf["text"]])
+            yield pdf[["abusive"]].assign(found=[[" ".join(p) for p in passages(t, memo)] for t in pdf["text"]])
 
     sample = documents.where(F.col("text") != "").select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", F.col("abusive").cast("int").alias("abusive"))
     docs: list[Doc] = sorted(([tuple(p.split(" ")) for p in r.found], bool(r.abusive)) for r in sample.mapInPandas(cut, "abusive int, found array<string>").collect())
