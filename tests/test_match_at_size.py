@@ -59,3 +59,12 @@ def test_scores(spark, small, sides, one_by_one):
     got = sorted(map(tuple, match.match_scores(wanted, offered, aliases, o, c, "offer", "cv").collect()))
     assert len({r[0] for r in want}) > 2 * match.BITS and got == want
     assert not [k for k in moved(spark, small, "a06_match_score") if {"cv", "doc_id"} <= {*k}]
+
+
+def test_coverage(spark, small, sides, one_by_one):
+    _, _, wanted, offered, aliases = sides
+    got = [tuple(r) for r in match.covered_terms(wanted, offered, aliases, "cv", fuzzy=False).collect()]
+    assert len(got) == len({*got}) and {*got} == one_by_one
+    # The last thing done is making CVs of bits; rows of CVs and terms aren't grouped again.
+    plan = entry.queries()["j01_coverage"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"\b(Exchange|HashAggregate|\w*Join)\b", plan)[1].endswith("Join")
