@@ -68,3 +68,11 @@ def test_coverage(spark, small, sides, one_by_one):
     # The last thing done is making CVs of bits; rows of CVs and terms aren't grouped again.
     plan = entry.queries()["j01_coverage"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"\b(Exchange|HashAggregate|\w*Join)\b", plan)[1].endswith("Join")
+
+
+def test_level_fit_is_spread(spark):
+    """Offers that come in one part meet the CVs in many."""
+    offers, cvs = (spark.createDataFrame([(k, k % 3 if k % 4 else None) for k in range(n)], f"{key} bigint, level int").coalesce(1) for n, key in ((40, "offer"), (5, "cv")))
+    fit = match.level_fit(offers, cvs, "offer", "cv")
+    assert fit.count() == 200 and fit.where("fit = 'unknown'").count() == 40 * 5 - 30 * 3
+    assert fit.rdd.getNumPartitions() > 4
