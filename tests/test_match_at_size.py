@@ -76,3 +76,12 @@ def test_level_fit_is_spread(spark):
     fit = match.level_fit(offers, cvs, "offer", "cv")
     assert fit.count() == 200 and fit.where("fit = 'unknown'").count() == 40 * 5 - 30 * 3
     assert fit.rdd.getNumPartitions() > 4
+
+
+def test_gaps(spark, small, sides, one_by_one):
+    offers, cvs, wanted, offered, aliases = sides
+    found = spark.createDataFrame(sorted(one_by_one), "cv bigint, term string, tier string")
+    want = sorted(map(tuple, match.keyword_gaps(wanted, found, offers, cvs, "offer", "cv", "text").collect()))
+    got = sorted(map(tuple, match.stated_gaps(wanted, offered, aliases, offers, cvs, "offer", "cv", "text").collect()))
+    assert got == want and {r[6] for r in want} == {"addable", "missing"}
+    assert not [k for k in moved(spark, small, "t2_keyword_gaps") if {"cv", "doc_id"} <= {*k}]
