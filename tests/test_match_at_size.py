@@ -85,3 +85,8 @@ def test_gaps(spark, small, sides, one_by_one):
     got = sorted(map(tuple, match.stated_gaps(wanted, offered, aliases, offers, cvs, "offer", "cv", "text").collect()))
     assert got == want and {r[6] for r in want} == {"addable", "missing"}
     assert not [k for k in moved(spark, small, "t2_keyword_gaps") if {"cv", "doc_id"} <= {*k}]
+
+
+def test_spellings_are_bits_too(spark, small):
+    plan = entry.queries()["j01_with_spellings"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"\b(Exchange|HashAggregate|\w*Join)\b", plan)[1].endswith("Join")
