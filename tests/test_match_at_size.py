@@ -90,3 +90,36 @@ def test_gaps(spark, small, sides, one_by_one):
 def test_spellings_are_bits_too(spark, small):
     plan = entry.queries()["j01_with_spellings"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"\b(Exchange|HashAggregate|\w*Join)\b", plan)[1].endswith("Join")
+
+
+@pytest.fixture
+def unhinted(spark):
+    """Joins broadcast what the code says and nothing else, as with tables too large for the optimizer's own broadcasts."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_long_words_move_nothing(spark, unhinted):
+    """Requirements aren't moved once for each pair of letters, however long the CVs' words are; the rows are those of all pairs."""
+    rnd = random.Random(7)
+    words = ["a" * 300, "terraform", "postgresql", "machine learning", "no", "x", "𐐨𐐩𐐪𐐫𐐬𐐭𐐮𐐯", *("".join(rnd.choice("abc-") for _ in range(rnd.randint(3, 80))) for _ in range(25))]
+    typo = lambda w: "".join(c * rnd.choice([1] * 18 + [0, 2]) for c in w)
+    asks = sorted({*words, *(typo(w) for w in words for _ in range(6)), "learning machine", "learn a machine", "y", *(" ".join(["aaa", "of the"] * k) for k in range(30, 60))} - {""})
+    near = match.spellings(spark.createDataFrame([(x,) for x in asks], "term string"), spark.createDataFrame([(y,) for y in words], "term string"))
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    alike = lambda x, y: min(len(x), len(y)) > 1 and 2 * match.common_length(x, y) / (len(x) + len(y)) >= match.SPELLING - 1e-9
+    want = sorted((x, y) for x in asks for y in words if alike(" ".join(sorted(x.split())), y))
+    assert sorted(map(tuple, near.collect())) == want and len(want) > 2 * len(words)
+    assert not re.search(r"hashpartitioning\([^)]*pair#", plan)
+
+
+def test_requirements_are_shuffled_once(spark, sides, unhinted):
+    """Spellings are sought among the terms that are shuffled anyway."""
+    _, _, wanted, offered, aliases = sides
+    found = match.covered_terms(wanted, offered, aliases, "cv")
+    assert {r.tier for r in found.collect()} >= {"exact", "alias"}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len([x for x in plan.split("\n") if "REPARTITION_BY_NUM" in x and "hashpartitioning(term#" in x and "Reused" not in x]) == 1
